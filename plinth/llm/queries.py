@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, secret_scan, simhash
+from plinth.llm import decontaminate, histogram_sort, secret_scan, simhash
 from plinth.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_simhash": op6_simhash, "op4_decontaminate": op4_decontaminate}
+
+
+def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_sort.shard_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_histogram_sort"] = op5_histogram_sort
