@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, histogram_sort, secret_scan, simhash
+from plinth.llm import decontaminate, histogram_sort, piece_codec, secret_scan, simhash
 from plinth.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,10 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_histogram_sort"] = op5_histogram_sort
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_piece_codec"] = op9_piece_codec
