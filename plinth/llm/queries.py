@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, histogram_sort, piece_codec, secret_scan, simhash
+from plinth.llm import decontaminate, histogram_sort, language_id, piece_codec, secret_scan, simhash
 from plinth.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,10 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_piece_codec"] = op9_piece_codec
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_language_id"] = op10_language_id
