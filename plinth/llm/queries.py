@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, histogram_sort, language_id, piece_codec, secret_scan, simhash
+from plinth.llm import decontaminate, histogram_sort, language_id, piece_codec, secret_scan, simhash, toxicity
 from plinth.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_language_id"] = op10_language_id
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op2_toxicity"] = op2_toxicity
