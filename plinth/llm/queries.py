@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, histogram_sort, language_id, piece_codec, secret_scan, simhash, toxicity, warc
+from plinth.llm import anisotropic, decontaminate, histogram_sort, language_id, piece_codec, secret_scan, simhash, toxicity, warc
 from plinth.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_warc"] = op1_warc
+
+
+def op3_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op3_anisotropic"] = op3_anisotropic
