@@ -8,8 +8,10 @@ parallel to the vector ETA times as much as the rest, as that part is what chang
 1. Rows of equal vectors become one class with its K + 1 smallest ids; the index holds every class.
 2. Centroids and codebooks are fitted on at most SAMPLE classes (those with the smallest hash).
 3. Each class is put in its nearest cell; a cell of more than BLOCK classes is cut into blocks. Queries (classes
-   again) go to every block of their PROBES nearest cells, in parts of QUERIES. A task scans the codes of one block by
-   tables of 16 entries a subspace, keeps RERANK of them and ranks those by exact double-precision distance.
+   again) go to every block of their nearest cells, in parts of QUERIES; how many cells is measured, so that COVER of
+   the neighbours that TRIALS sampled vectors have in the sample lie there. A task scans the codes of one block by
+   tables of 16 entries a subspace, keeps RERANK of them, and all that come as close to the K-th as the block's
+   quantisation error (so groups of near copies are kept whole), and ranks those by exact double-precision distance.
 4. The nearest classes of each query are merged, and ids are filled in.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another dimension than
@@ -33,7 +35,7 @@ from plinth.llm.shared import materialize, ship
 
 K = 10
 SAMPLE = 10_000
-CELL, CELLS, PROBES = 2_500, 4096, 12
+CELL, CELLS, COVER, TRIALS = 2_500, 4096, 0.97, 200
 BLOCK, QUERIES, RERANK = 8192, 1024, 120
 WORDS = 16
 #: Share of a vector's length below which a query's product doesn't matter (T); gives the weight of parallel error.
@@ -46,6 +48,7 @@ class Quantiser:
 
     cells: np.ndarray
     books: np.ndarray
+    probes: int = 1
 
     def nearest_cells(self, x: np.ndarray, n: int) -> np.ndarray:
         far = (self.cells**2).sum(1) - 2 * x @ self.cells.T
@@ -120,7 +123,14 @@ def fit(x: np.ndarray, count: int, seed: int = 7) -> Quantiser:
                     books[s, k] = np.linalg.solve(left, aim[mine].sum(0))
             error[:, s] = parts[:, s] - books[s, codes[:, s]]
             total = rest + (error[:, s] * a).sum(1)
-    return Quantiser(cells, books)
+    made = Quantiser(cells, books)
+    trial = x[rng.choice(len(x), min(TRIALS, len(x)), replace=False)]
+    far = (x**2).sum(1) - 2 * trial @ x.T
+    near = np.argsort(far, axis=1, kind="stable")[:, 1 : K + 1]
+    place = np.argsort(made.nearest_cells(trial, c), axis=1)
+    ranks = np.sort(np.take_along_axis(place, cell[near], 1), axis=None)
+    made.probes = int(ranks[min(len(ranks) - 1, int(COVER * len(ranks)))]) + 1 if len(ranks) else c
+    return made
 
 
 def vector_classes(table: DataFrame, k: int = K) -> DataFrame:
@@ -154,7 +164,7 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     made = fit(_even(np.stack(sample.to_numpy()).astype(np.float64)), n)
     shared = spark.sparkContext.broadcast(made)
     cells = len(made.cells)
-    probes = min(PROBES, cells)
+    probes = min(made.probes, cells)
 
     def index(batches):
         q = shared.value
@@ -194,13 +204,18 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         flat = codes.astype(np.int64) + np.arange(m) * WORDS
         half = (even**2).sum(1) / 2
         centre = model.cells[int(x["cell"].iloc[0])]
+        error = even - centre - model.books[np.arange(m), codes].reshape(len(x), -1)
+        spread = 2 * np.sqrt((error**2).sum(1).mean() / error.shape[1])
         cids, ids = x["cid"].to_numpy(np.int64), x["ids"].to_numpy()
         out = []
         for qid, vec in zip(q["qid"], q["vec"], strict=True):
             v = np.asarray(vec, np.float64)
             w = _even(v[None])[0]
             rough = model.tables(w).reshape(-1)[flat].sum(1) + w @ centre - half
-            best = np.argpartition(-rough, RERANK)[:RERANK] if len(rough) > RERANK else np.arange(len(rough))
+            best = np.arange(len(rough))
+            if len(rough) > RERANK:
+                order = np.partition(-rough, (k, RERANK - 1))
+                best = np.flatnonzero(-rough <= max(order[RERANK - 1], order[k] + spread * np.linalg.norm(w)))
             score = np.sqrt(((raw[best] - v) ** 2).sum(1))
             top = best[np.lexsort((cids[best], score))[: k + 1]]
             out.append(pd.DataFrame({"qid": qid, "cid": cids[top], "score": np.sqrt(((raw[top] - v) ** 2).sum(1)), "ids": ids[top]}))
