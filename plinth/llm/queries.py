@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import anisotropic, decontaminate, histogram_sort, language_id, piece_codec, secret_scan, simhash, toxicity, warc
+from plinth.llm import anisotropic, decontaminate, histogram_sort, language_id, piece_codec, secret_scan, simhash, tool_calls, toxicity, warc
 from plinth.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,10 @@ def op3_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_anisotropic"] = op3_anisotropic
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op7_tool_calls"] = op7_tool_calls
