@@ -183,3 +183,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
+
+
+def keep_clean(docs: DataFrame) -> DataFrame:
+    """Documents without any span, of the fixed patterns or added. Null and empty texts stay."""
+    base, added = scan_spans(F.col("text"))
+    return docs.filter(F.size(base) + F.size(added) == 0)
