@@ -169,9 +169,9 @@ def check_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without those that hold windows of min_items items or more."""
-    bad = materialize(contamination(docs, benchmark).filter("contaminated").select("doc_id", "h"), "decon-bad")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 1) -> DataFrame:
+    """Documents without those that hold windows of min_items items or more; by default, of any."""
+    bad = materialize(contamination(docs, benchmark, min_items=min_items).filter("contaminated").select("doc_id", "h"), "decon-bad")
     narrow = small_side(bad.distinct().withColumnsRenamed({"doc_id": "__d", "h": "__h"}))
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"))
     return docs.join(narrow, same, "left_anti").select(*docs.columns)
