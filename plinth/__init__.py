@@ -1 +1 @@
-"""plinth: basket and catalogue analytics as PySpark DataFrame operators."""
+"""Basket and catalogue analytics on Spark DataFrames."""
