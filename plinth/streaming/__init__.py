@@ -1,0 +1 @@
+"""No streaming operators: the workload that this library covers is batch only."""
