@@ -114,20 +114,21 @@ def rand_index(groups: DataFrame, a: str, b: str) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(item, community): weighted label propagation from each item's own label; ties to the smallest label.
 
-    Stands in for modularity search, which has no distributed exact form. Even and odd items move in turn, so labels
-    don't swap for ever; it ends when none moves, or after `rounds`.
+    Stands in for modularity search, which has no distributed exact form. An item keeps its label if none is better;
+    about half of the items may move in a turn, another half each time, so labels don't swap for ever. It ends when
+    none wants to move, or after `rounds`.
     """
-    w = materialize(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "weight").unionByName(edges.select(F.col("j").alias("a"), F.col("i").alias("b"), "weight")), "lp-edges")
+    back = edges.select(F.col("j").alias("a"), F.col("i").alias("b"), "weight")
+    w = materialize(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "weight").unionByName(back), "lp-edges")
     now = materialize(w.select(F.col("a").alias("item"), F.col("a").alias("community")).distinct(), "lp")
-    still = 0
     for turn in range(rounds):
-        votes = w.join(now.select(F.col("item").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("v"))
-        best = votes.groupBy(F.col("a").alias("item")).agg(F.max(F.struct(F.round("v", 9).alias("v"), (-F.col("community")).alias("back"))).alias("best"))
-        moves = F.xxhash64("item") % 2 == turn % 2
-        after = now.join(best, "item").select("item", F.when(moves, -F.col("best.back")).otherwise(F.col("community")).alias("community"), F.col("community").alias("was"))
-        after = materialize(after, "lp")
-        still = 0 if not after.filter("community != was").isEmpty() else still + 1
-        now = after.drop("was")
-        if still == 2:
+        votes = w.join(now.select(F.col("item").alias("b"), F.col("community").alias("label")), "b").groupBy(F.col("a").alias("item"), "label").agg(F.sum("weight").alias("v"))
+        ranked = F.struct(F.round("v", 9).alias("v"), (F.col("label") == F.col("community")).alias("own"), (-F.col("label")).alias("back"))
+        best = votes.join(now, "item").groupBy("item", "community").agg((-F.max(ranked)["back"]).alias("best"))
+        moves = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(2)) == 0
+        after = materialize(best.select("item", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community"), (F.col("best") != F.col("community")).alias("wants")), "lp")
+        done = after.filter("wants").isEmpty()
+        now = after.drop("wants")
+        if done:
             break
     return now
