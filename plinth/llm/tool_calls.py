@@ -9,7 +9,7 @@ be an object or its JSON text. An argument value {"$ref": id} depends on another
   grouped by call id, by partial aggregation.
 * `level` is 0 for calls that depend on no call, else one more than the highest level depended on; (level, turn, seq,
   call_id) is a topological order. Calls on a cycle, and those that need them, have no level and the error "cycle".
-  Each level is one join, written to the shared folder.
+  Chains of single references are walked by doubled pointers; each round is one join, written to the shared folder.
 * `status`: linked, early (the result's turn isn't after the call's), pending (no result), orphan (no call).
 * `valid`: known name, arguments that meet its schema (a subset of JSON Schema, see `violations`), known references.
 * `canonical`: sorted keys (by UTF-16 code units), no white space, shortest numbers.
@@ -156,27 +156,58 @@ def extract(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, _EVENT)
 
 
+def _jumps(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at, off): where the only references of calls lead, `off` steps on, before a call that doesn't
+    have exactly one. Pointers double in each round, so rounds are the logarithm of the longest chain; what still
+    moves after that many is on a cycle, or leads into one, and is left out."""
+    now = materialize(single.select("conv_id", "call_id", F.col("dep").alias("at"), F.lit(1).cast("long").alias("off"), F.lit(False).alias("still")), "tool-jumps")
+    for _ in range(now.count().bit_length() + 1):
+        step = now.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("at").alias("to"), F.col("off").alias("more"), F.col("still").alias("ends"))
+        open_ = now.filter("not still")
+        moved = open_.join(step, open_["conv_id"].eqNullSafe(step["c"]) & (open_["at"] == step["i"]), "left")
+        moved = moved.select("conv_id", "call_id", F.coalesce("to", "at").alias("at"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (F.col("i").isNull() | F.col("ends")).alias("still"))
+        now = materialize(now.filter("still").unionByName(moved), "tool-jumps")
+        if now.filter("not still").isEmpty():
+            break
+    return now.filter("still").drop("still")
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) for calls that have one. edges: (conv_id, call_id, dep), dep being another call."""
+    """(conv_id, call_id, level) for calls that have one. edges: (conv_id, call_id, dep), dep being a call.
+
+    Chains of calls with one reference each are jumped along; then calls with several get a level once all that they
+    lead to has one, a round for each such call on the longest path.
+    """
     key = ["conv_id", "call_id"]
     edges = materialize(edges.distinct(), "tool-edges")
-    need = materialize(edges.groupBy(*key).agg(F.count("*").alias("deps")), "tool-need")
-    null = lambda a, b, x, y: a[x].eqNullSafe(b[y])
-    done = calls.join(need, null(calls, need, "conv_id", "conv_id") & (calls["call_id"] == need["call_id"]), "left_anti")
-    last = materialize(done.select(*key, F.lit(0).alias("level")), "tool-level")
-    found, met, level = last, None, 0
-    while not edges.isEmpty() and not last.isEmpty():
-        level += 1
-        fresh = edges.join(last, edges["conv_id"].eqNullSafe(last["conv_id"]) & (edges["dep"] == last["call_id"]), "left_semi")
-        fresh = fresh.groupBy(*key).agg(F.count("*").alias("met"))
-        met = fresh if met is None else met.unionByName(fresh).groupBy(*key).agg(F.sum("met").alias("met"))
+    need = materialize(edges.groupBy(*key).agg(F.count("*").alias("deps"), F.min("dep").alias("dep")), "tool-need")
+    met_by = lambda a, b, x, y: a["conv_id"].eqNullSafe(b[x]) & (a[y] == b["i"])
+    named = need.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "deps")
+    roots = calls.join(named, met_by(calls, named, "c", "call_id"), "left_anti").select(*key, F.lit(0).cast("long").alias("level"))
+    last = found = materialize(roots, "tool-level")
+    jumps = _jumps(need.filter("deps = 1").drop("deps"))
+    # edges of calls with several references, over the chains that they lead to
+    many = edges.join(named.filter("deps > 1"), met_by(edges, named, "c", "call_id")).select(*key, "dep", "deps")
+    ones = need.filter("deps = 1").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.lit(True).alias("one"))
+    many = many.join(ones, met_by(many, ones, "c", "dep"), "left").drop("c", "i")
+    far = jumps.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("at").alias("to"), F.col("off").alias("more"))
+    many = many.join(far, met_by(many, far, "c", "dep"), "left")
+    many = many.filter("one is null or to is not null").select(*key, "deps", F.coalesce("to", "dep").alias("at"), (F.coalesce("more", F.lit(0)) + 1).alias("off"))
+    many = materialize(many, "tool-many")
+    met, rounds = None, 0
+    while not many.isEmpty() and not last.isEmpty():
+        rounds += 1
+        reached = last.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "level")
+        fresh = many.join(reached, met_by(many, reached, "c", "at")).groupBy(*key, "deps")
+        fresh = fresh.agg(F.count("*").alias("met"), F.max(F.col("level") + F.col("off")).alias("level"))
+        met = fresh if met is None else met.unionByName(fresh).groupBy(*key, "deps").agg(F.sum("met").alias("met"), F.max("level").alias("level"))
         met = materialize(met, "tool-met")
-        full = met.join(need.withColumnsRenamed({"conv_id": "c", "call_id": "i"}), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")))
-        ready = full.filter("met = deps").select(*key, F.lit(level).alias("level"))
-        last = materialize(ready, "tool-level")
-        met = full.filter("met < deps").select(*key, "met")
-        found = found.unionByName(last)
-    return found
+        last = materialize(met.filter("met = deps").select(*key, "level"), "tool-level")
+        met = met.filter("met < deps")
+        found = found.unionByName(last) if rounds % 16 else materialize(found.unionByName(last), "tool-found")
+    ends = found.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "level")
+    along = jumps.join(ends, met_by(jumps, ends, "c", "at")).select(*key, (F.col("level") + F.col("off")).alias("level"))
+    return found.unionByName(along).withColumn("level", F.col("level").cast("int"))
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:

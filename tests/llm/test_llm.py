@@ -345,6 +345,25 @@ def test_tool_calls(spark):
     assert linked["9:0"]["status"] == "linked" and linked["9:2"]["level"] == 1 and all(r["valid"] for r in linked.values())
 
 
+def test_tool_levels(spark):
+    """Long chains, calls with several references and cycles, against levels by their definition."""
+    import random
+
+    rng = random.Random(3)
+    deps = {f"c{k}": {f"c{k - 1}"} for k in range(1, 300)} | {"c0": set()}
+    for k in range(150):
+        deps[f"r{k}"] = {f"r{rng.randrange(k)}" for _ in range(rng.randrange(4))} if k else set()
+    deps |= {"m": {"c299", "r149", "c7"}, "n": {"m"}, "x": {"y"}, "y": {"x"}, "z": {"y"}, "w": {"z", "c3"}, "v": {"w"}, "s": {"s"}, "t": {"s", "c1"}}
+    level, before = {}, None
+    while before != len(level):
+        before = len(level)
+        level |= {c: max((level[d] for d in ds), default=-1) + 1 for c, ds in deps.items() if c not in level and all(d in level for d in ds)}
+    calls = spark.createDataFrame([(conv, c) for conv in (None, 5) for c in deps], "conv_id long, call_id string")
+    edges = spark.createDataFrame([(conv, c, d) for conv in (None, 5) for c, ds in deps.items() for d in ds], "conv_id long, call_id string, dep string")
+    got = [tuple(r) for r in tool_calls.levels(calls, edges).collect()]
+    assert sorted(got, key=str) == sorted([(conv, c, n) for conv in (None, 5) for c, n in level.items()], key=str)
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
