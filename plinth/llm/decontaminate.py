@@ -71,7 +71,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _starts(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Distinct (doc_id, h, win_id, len, start) where a window's given term stands at its place."""
+    """(doc_id, h, win_id, len, start) where a window's given term stands at its place; they repeat as rows do."""
     return index.join(small_side(terms), "term_id").select(*_KEY, "win_id", "len", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
 
 
@@ -91,7 +91,8 @@ def phrase_matches(index: DataFrame, windows: Windows) -> DataFrame:
     found = _starts(index, ranked.filter("rank = 1"))
     second = _starts(index, ranked.filter("rank = 2"))
     agreed = found.withColumn("seen", F.lit(1)).unionByName(second.withColumn("seen", F.lit(2)))
-    agreed = agreed.groupBy(*place).agg(F.sum("seen").alias("seen")).filter("seen = 3 or (seen = 1 and len = 1)")
+    # bits, not a sum: postings of repeated rows repeat
+    agreed = agreed.groupBy(*place).agg(F.bit_or("seen").alias("seen")).filter("seen = 3 or (seen = 1 and len = 1)")
     agreed = materialize(agreed.select(*place), "decon-agreed")
     left = materialize(agreed.select(*_KEY).distinct(), "decon-docs")
     rest = ranked.filter("rank > 2")

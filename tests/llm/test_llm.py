@@ -165,6 +165,19 @@ def test_decontamination(spark, docs, rows, none):
     assert kept.columns == docs.columns and kept.count() == sum(not brute_contamination(r[1], items)[2] for r in rows)
 
 
+def test_decontamination_of_repeated_rows(spark):
+    bench = spark.createDataFrame([("two", "rare common"), ("one", "lonely"), ("four", "scarce seldom often plenty")], "item_id string, text string")
+    texts = {1: "x rare common y", 2: "a lonely b", 3: "so scarce seldom often plenty on", 4: "so scarce never often plenty on"}
+    texts |= {5: "scarce", 6: "seldom seldom seldom seldom seldom seldom seldom seldom seldom seldom", 7: "often plenty common " * 30}
+    for copies in (1, 2, 3):
+        rows = [(d, t) for d, t in texts.items() for _ in range(copies)]
+        found = decontaminate.check_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert len(found) == len(rows)
+        assert {(r["doc_id"], r["n_hit"], r["n_items"]) for r in found} == {(1, 2, 1), (2, 1, 1), (3, 4, 1), *[(d, 0, 0) for d in (4, 5, 6, 7)]}
+        kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted([4, 5, 6, 7] * copies)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b x c y d"), (2, "d c b a"), (3, "a b c"), (4, "a z z z z z z z z z b c d")], "doc_id long, text string")
     windows = decontaminate.item_windows(spark.createDataFrame([(1, "a b c d")], "item_id long, text string"))
