@@ -31,7 +31,8 @@ from plinth.llm.shared import materialize, ship, small_side
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 300
-MAX_LANGUAGES = 64
+#: A cost table that is larger is refused, never cut.
+TABLE_BYTES = 512 << 20
 ALPHABET = 63
 #: Order-3 contexts kept for the table: the commonest; others fall back to their shorter context, as unseen ones do.
 CONTEXTS = 20_000
@@ -109,7 +110,7 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
 
 def freeze(grams) -> Model:
     """The cost table of counted runs (pandas: lang, gram, n)."""
-    languages = sorted(grams["lang"].unique())[:MAX_LANGUAGES]
+    languages = sorted(grams["lang"].unique())
     g, n = grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)
     bytes_ = np.stack([(g >> s) & 255 for s in (24, 16, 8, 0)], axis=1) if len(g) else np.zeros((0, 4), np.int64)
     common = np.bincount(bytes_[:, 3], weights=n, minlength=256)
@@ -125,6 +126,8 @@ def freeze(grams) -> Model:
     # rows: contexts of order 3 that were seen, then every pair of bytes for the others
     context = np.tile(len(seen) + np.arange(a * a), a).reshape(-1)
     context[seen] = np.arange(len(seen))
+    if (size := 4 * (len(seen) + a * a) * a * len(languages)) > TABLE_BYTES:
+        raise ValueError(f"the cost table of {len(languages)} languages takes {size} bytes, beyond TABLE_BYTES")
     cost = np.zeros((len(seen) + a * a, a, max(1, len(languages))), np.float32)
     lang = grams["lang"].to_numpy()
     for k, name in enumerate(languages):

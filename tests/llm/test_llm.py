@@ -5,8 +5,10 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas
 import pytest
 import sentencepiece
 import xxhash
@@ -256,6 +258,18 @@ def test_ppm_costs_are_probabilities(spark):
     assert np.allclose(np.exp2(-model.cost.astype(float)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_language_id_learns_every_language():
+    alphabets = {f"l{k:02}": f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)}" for k in range(70)}
+    rows = [(lang, gram, n) for lang, t in alphabets.items() for gram, n in brute_grams(t * 5).items()]
+    model = language_id.freeze(pandas.DataFrame(rows, columns=["lang", "gram", "n"]))
+    assert [model.predict(t * 3)[0] for t in alphabets.values()] == list(alphabets)
+
+
+def brute_grams(text):
+    raw = b"   " + text.lower().encode()
+    return Counter(int.from_bytes(raw[k : k + 4], "big") for k in range(len(raw) - 3))
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     plain = ["the", "house", "tree", "walks", "with", "red", "blue", "some"]
