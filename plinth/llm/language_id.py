@@ -4,15 +4,16 @@ Fitting reads a bounded sample of labelled rows: per language, the DOCS_PER_LANG
 doc_id (all whole texts). Executors count contexts of up to ORDER bytes; per language these are a context tree of
 variable order with escapes by method C: a context seen n times with d distinct successors gives a successor seen c
 times c / (n + d) and escapes to the next shorter context with d / (n + d), down to a uniform byte. The statistics are
-then frozen, so the cost of every (context, byte) is a constant; all are written to one table of
-(contexts seen, byte classes, languages), and a text's exact code length is a sum of its rows.
+then frozen, so the cost of every (context, byte) is a constant. All runs of the sample, of every language, stand in
+sparse tables of (run, language) by order, and a text's exact code length is a sum of their rows.
 
-Bytes are coded after ASCII letters are lower-cased; bytes beyond the ALPHABET commonest of the sample share one class.
+Bytes are coded after ASCII letters are lower-cased; all 256 have codes of their own.
 
 * Null texts, and those without a letter, are `und` with score 0. Ties go to the language first in order.
 * Rows with a null lang or doc_id aren't learned from but are predicted. Repeated rows repeat. Without any row to learn
   from, all are `und`. An empty table gives an empty result. Further columns are ignored.
-* The table broadcast is bounded: CONTEXTS * (ALPHABET + 1) * languages * 4 bytes.
+* The tables broadcast are bounded by the sample: (runs + contexts) * languages * 4 bytes. Beyond TABLE_BYTES fitting
+  fails with an error; no language, byte or context is left out.
 """
 
 from __future__ import annotations
@@ -31,11 +32,8 @@ from plinth.llm.shared import materialize, ship, small_side
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 300
-#: A cost table that is larger is refused, never cut.
-TABLE_BYTES = 512 << 20
-ALPHABET = 63
-#: Order-3 contexts kept for the table: the commonest; others fall back to their shorter context, as unseen ones do.
-CONTEXTS = 20_000
+#: Cost tables that are larger are refused, never cut.
+TABLE_BYTES = 256 << 20
 UNKNOWN = "und"
 #: Bytes of text that are scored at once.
 STEP = 1 << 20
@@ -48,26 +46,46 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """classes: byte -> class; context: class triple -> row of cost; cost[row, class, language] in bits."""
+    """Costs in bits by order k = 0..ORDER: cost[k][i, language] of the run runs[k][i] (a context of k bytes and its
+    successor), and escape[k][j, language] of leaving contexts[k][j]. All keys are sorted, high byte first.
+
+    Runs that no language has seen cost their escape and what the next shorter context says.
+    """
 
     languages: list[str]
-    classes: np.ndarray
-    context: np.ndarray
-    cost: np.ndarray
+    runs: list[np.ndarray]
+    costs: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def _bits(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, bits by language) whose sums are the costs of the grams of ORDER + 1 bytes."""
+        at = np.arange(len(grams))
+        for k in range(ORDER, -1, -1):
+            row, hit = _find(self.runs[k], grams & _mask(k + 1))
+            yield at[hit], self.costs[k][row[hit]]
+            at, grams = at[~hit], grams[~hit]
+            row, hit = _find(self.contexts[k], (grams & _mask(k + 1)) >> 8)
+            yield at[hit], self.escapes[k][row[hit]]
+        yield at, np.full((len(at), len(self.languages)), 8, np.float32)
 
     @property
-    def width(self) -> int:
-        return int(self.classes.max()) + 1
+    def cost(self) -> np.ndarray:
+        """cost[context, byte, language] of every context of ORDER bytes that was seen."""
+        grams = ((self.contexts[ORDER][:, None] << 8) | np.arange(256)).ravel()
+        out = np.zeros((len(grams), len(self.languages)))
+        for at, bits in self._bits(grams):
+            out[at] += bits
+        return out.reshape(-1, 256, len(self.languages))
 
     def code_lengths(self, text: str) -> np.ndarray:
         """Bits for the text in each language."""
         raw = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
         total = np.zeros(len(self.languages))
-        a = self.width
         for k in range(0, len(raw), STEP):
-            c = self.classes[np.concatenate([np.full(max(0, ORDER - k), 32, np.uint8), raw[max(0, k - ORDER) : k + STEP]])].astype(np.int64)
-            rows = self.context[(c[:-3] * a + c[1:-2]) * a + c[2:-1]]
-            total += self.cost.reshape(-1, self.cost.shape[2])[rows * a + c[3:]].sum(axis=0, dtype=np.float64)
+            c = np.concatenate([np.full(max(0, ORDER - k), 32, np.uint8), raw[max(0, k - ORDER) : k + STEP]]).astype(np.int64)
+            for _, bits in self._bits((c[:-3] << 24) | (c[1:-2] << 16) | (c[2:-1] << 8) | c[3:]):
+                total += bits.sum(axis=0, dtype=np.float64)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -109,54 +127,46 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
 
 
 def freeze(grams) -> Model:
-    """The cost table of counted runs (pandas: lang, gram, n)."""
+    """The cost tables of counted runs (pandas: lang, gram, n): every language, byte and context of them."""
     languages = sorted(grams["lang"].unique())
-    g, n = grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)
-    bytes_ = np.stack([(g >> s) & 255 for s in (24, 16, 8, 0)], axis=1) if len(g) else np.zeros((0, 4), np.int64)
-    common = np.bincount(bytes_[:, 3], weights=n, minlength=256)
-    kept = np.argsort(-common, kind="stable")[:ALPHABET]
-    classes = np.full(256, len(kept), np.uint8)
-    classes[kept] = np.arange(len(kept))
-    a = len(kept) + 1
-    c = classes[bytes_].astype(np.int64)
-    triple = (c[:, 0] * a + c[:, 1]) * a + c[:, 2]
-    weight = np.bincount(triple, weights=n, minlength=a**3)
-    seen = np.argsort(-weight, kind="stable")[:CONTEXTS]
-    seen = seen[weight[seen] > 0]
-    # rows: contexts of order 3 that were seen, then every pair of bytes for the others
-    context = np.tile(len(seen) + np.arange(a * a), a).reshape(-1)
-    context[seen] = np.arange(len(seen))
-    if (size := 4 * (len(seen) + a * a) * a * len(languages)) > TABLE_BYTES:
-        raise ValueError(f"the cost table of {len(languages)} languages takes {size} bytes, beyond TABLE_BYTES")
-    cost = np.zeros((len(seen) + a * a, a, max(1, len(languages))), np.float32)
-    lang = grams["lang"].to_numpy()
-    for k, name in enumerate(languages):
+    g, n, lang = grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64), grams["lang"].to_numpy()
+    runs = [np.unique(g & _mask(k + 1)) for k in range(ORDER + 1)]
+    contexts = [np.unique(r >> 8) for r in runs]
+    size = 4 * len(languages) * sum(map(len, runs + contexts))
+    if size > TABLE_BYTES:
+        raise ValueError(f"cost tables of {len(languages)} languages take {size} bytes, beyond TABLE_BYTES; sample fewer rows a language")
+    costs = [np.zeros((len(r), len(languages)), np.float32) for r in runs]
+    escapes = [np.zeros((len(c), len(languages)), np.float32) for c in contexts]
+    context_of = [np.searchsorted(c, r >> 8) for c, r in zip(contexts, runs, strict=True)]
+    suffix_of = [None, *[np.searchsorted(runs[k - 1], runs[k] & _mask(k)) for k in range(1, ORDER + 1)]]
+    for i, name in enumerate(languages):
         mine = lang == name
-        s, w = c[mine], n[mine].astype(np.float64)
-        p = np.full(a, 1 / a)  # order -1
-        last = s[:, 3]
-        p0 = _blend(np.zeros(len(last), np.int64), last, w, 1, a, p[None, :])
-        p1 = _blend(s[:, 2], last, w, a, a, np.repeat(p0, a, axis=0))
-        p2 = _blend(s[:, 1] * a + s[:, 2], last, w, a * a, a, np.tile(p1, (a, 1)))
-        place = np.full(a**3, -1)
-        place[seen] = np.arange(len(seen))
-        at = place[triple[mine]]
-        ok = at >= 0
-        p3 = _blend(at[ok], last[ok], w[ok], len(seen), a, p2[seen % (a * a)])
-        cost[:, :, k] = -np.log2(np.concatenate([p3, p2]))
-    return Model(list(languages), classes, context.astype(np.int32), cost)
-
-
-def _blend(context: np.ndarray, last: np.ndarray, w: np.ndarray, contexts: int, a: int, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities (contexts, a): seen successors by count, the escape mass shared out by the shorter context's."""
-    n = np.bincount(context * a + last, weights=w, minlength=contexts * a).reshape(contexts, a)
-    total, distinct = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-    spare = np.where(n > 0, 0, shorter)
-    left = spare.sum(axis=1, keepdims=True)
-    escape = np.where(left > 0, distinct, 0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        p = np.where(n > 0, n / (total + escape), escape / (total + escape) * spare / left)
-    return np.where(total > 0, p, shorter)
+        shorter = None
+        for k in range(ORDER + 1):
+            at = context_of[k]
+            w = np.bincount(np.searchsorted(runs[k], g[mine] & _mask(k + 1)), weights=n[mine], minlength=len(runs[k]))
+            below = np.full(len(runs[k]), 1 / 256) if shorter is None else shorter[suffix_of[k]]
+            total, distinct = np.bincount(at, weights=w), np.bincount(at, weights=w > 0)
+            left = 1 - np.bincount(at, weights=np.where(w > 0, below, 0))
+            # with all bytes seen there is none to escape to
+            spare = np.where(distinct < 256, distinct, 0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                leave = np.where((total > 0) & (spare > 0), spare / (total + spare) / left, 1)
+                shorter = np.where(w > 0, w / (total + spare)[at], leave[at] * below)
+            costs[k][:, i], escapes[k][:, i] = -np.log2(shorter), -np.log2(leave)
+    return Model(list(languages), runs, costs, contexts, escapes)
+
+
+def _mask(size: int) -> int:
+    return (1 << (8 * size)) - 1
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of sorted keys, and which of the wanted are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    row = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return row, keys[row] == wanted
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

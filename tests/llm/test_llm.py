@@ -1,5 +1,6 @@
 """Each training-data operator against a brute-force version on odd rows: nulls, empty and long texts, repeats, no rows."""
 
+import functools
 import hashlib
 import math
 import random
@@ -270,6 +271,38 @@ def brute_grams(text):
     return Counter(int.from_bytes(raw[k : k + 4], "big") for k in range(len(raw) - 3))
 
 
+def brute_ppm(learned, text):
+    grams, raw = brute_grams(learned), b"   " + text.lower().encode()
+
+    @functools.cache
+    def spread(context):
+        shorter = spread(context[1:]) if context else [1 / 256] * 256
+        seen = Counter()
+        for gram, n in grams.items():
+            run = gram.to_bytes(4, "big")
+            if run[3 - len(context) : 3] == context:
+                seen[run[3]] += n
+        if not seen:
+            return shorter
+        all_, left = seen.total() + len(seen), sum(p for b, p in enumerate(shorter) if b not in seen)
+        return [seen[b] / all_ if b in seen else len(seen) / all_ * p / left for b, p in enumerate(shorter)]
+
+    return -sum(math.log2(spread(raw[k : k + 3])[raw[k + 3]]) for k in range(len(raw) - 3))
+
+
+def test_ppm_is_exact_over_mixed_scripts():
+    rng = random.Random(6)
+    ranges = {"el": (0x3B1, 24), "ru": (0x430, 32), "uk": (0x440, 32), "zh": (0x4E00, 900), "en": (97, 26), "ar": (0x627, 28)}
+    prose = lambda lang: "".join(chr(ranges[lang][0] + rng.randrange(ranges[lang][1])) + " " * (rng.random() < 0.2) for _ in range(150))
+    texts = {lang: prose(lang) for lang in sorted(ranges)}
+    assert len(set("".join(texts.values()).encode())) > 90
+    rows = [(lang, gram, n) for lang, t in texts.items() for gram, n in brute_grams(t).items()]
+    model = language_id.freeze(pandas.DataFrame(rows, columns=["lang", "gram", "n"]))
+    for lang in texts:
+        new = prose(lang)[:40] + "ÿ?"
+        assert np.allclose(model.code_lengths(new), [brute_ppm(t, new) for t in texts.values()], rtol=1e-5)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     plain = ["the", "house", "tree", "walks", "with", "red", "blue", "some"]
