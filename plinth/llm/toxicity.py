@@ -5,8 +5,8 @@ counts once in a text. FTRL-proximal keeps per coordinate the sum of squared gra
 linear term; L1 leaves most weights at exactly zero. The non-zero ones are broadcast and every whole text is scored.
 
 Fitting reads a bounded sample: the SAMPLE labelled rows, outside the held-out fold, with the smallest hash of doc_id;
-executors hash their texts, and the driver sees feature numbers only, of at most FEATURES a text in the sample (the
-features with the smallest hash; scoring has no such bound).
+executors hash their texts, and the driver sees feature numbers only, all of each text. Where these go beyond TOTAL,
+fewer rows are learned from, in the same order, each still whole.
 
 * Null and empty texts, and those without words, have no features: their score is that of the intercept.
 * Rows without doc_id or label, and labels without a text, aren't learned from; of labels that repeat a doc_id, the
@@ -30,7 +30,8 @@ from plinth.llm.shared import materialize, ship, small_side
 
 BITS = 22
 SAMPLE = 10_000
-FEATURES = 4_000
+#: Feature numbers the driver takes; the row that reaches it is the last.
+TOTAL = 25_000_000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.0
 #: Words whose hash a worker remembers.
@@ -120,13 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
             for t in b.column(2):
                 x = [np.unique(p) for p in hashed(t.as_py())]
                 x = np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64)
-                if len(x) > FEATURES:  # the smallest by another hash, as a fair share of all
-                    x = np.sort(x[np.argsort(x * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:FEATURES]])
                 at.append(x.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary())], ["order", "toxic", "at"])
 
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(small_side(picked), "doc_id")
-    found = texts.select("order", "toxic", "text").mapInArrow(run, "order long, toxic int, at binary").toPandas()
+    found = materialize(texts.select("order", "toxic", "text").mapInArrow(run, "order long, toxic int, at binary"), "toxic-features")
+    sizes = found.groupBy("order").agg(F.sum(F.length("at") / 4).alias("size")).toPandas().sort_values("order")
+    taken = sizes["order"][sizes["size"].cumsum() - sizes["size"] < TOTAL]
+    found = found.filter(F.col("order") <= int(taken.max()) if len(taken) else F.lit(False)).toPandas()
     found = found.sort_values(["order", "at"], kind="stable")
     rows = [np.frombuffer(x, "<i4") for x in found["at"]]
     return ftrl(rows, found["toxic"].to_numpy(np.float64))

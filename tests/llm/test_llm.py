@@ -327,6 +327,21 @@ def test_toxicity(spark, none):
     assert toxicity.score_documents(none, known).count() == 0
 
 
+def test_toxicity_learns_all_of_long_texts(spark):
+    rng = random.Random(9)
+    coordinate = lambda w: next(toxicity.hashed(w))[0]
+    late = max((f"bad{k}" for k in range(200)), key=lambda w: int(coordinate(w) * np.uint64(0x9E3779B97F4A7C15)))
+    rows, labels = [], []
+    for k in range(150):
+        words = [f"w{i}" for i in range(1800)]
+        rng.shuffle(words)
+        labels.append((k, 1, k % 3 % 2))
+        rows.append((k, " ".join(words + [late] * (k % 3 % 2))))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights = toxicity.fit(docs, known)
+    assert weights.dense()[int(coordinate(late))] > 0
+
+
 def test_warc(spark):
     odd = [(1, None, None), (2, "a\r\nb", ""), (3, "u", "x\r\n\r\ny" * 400), (4, "u", "x\r\n\r\ny" * 400), (5, "u", "z\r\n"), (6, "u", "\r\n\r\n"), (None, "u", "é" * 3000)]
     odd += [(7, "u", "WARC/1.1\r\n\r\nöä" * 9000), (8, "q", "\r\n" * 40_000), (8, "q", "\r\n" * 40_000), (9, "u", "é" * 3000), (10, "u", "short"), (11, "u", "short")]
