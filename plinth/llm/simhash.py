@@ -226,14 +226,17 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; component_id is the smallest doc_id reachable."""
+    """(doc_id, fp, component_id, root) for every row of docs; component_id is the smallest doc_id reachable.
+
+    Classes that repeat a doc_id over differing texts may share a component_id; root tells them apart.
+    """
     each = materialize(fingerprints(docs, shingle=shingle), "simhash-fp")
     distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(fingerprint_links(distinct, distinct.count(), radius), "simhash-cc")
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     linked = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(labelled.join(linked, "root").select("fp", "component_id"), "simhash-named")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(labelled.join(linked, "root").select("fp", "component_id", "root"), "simhash-named")
+    return each.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
@@ -241,21 +244,22 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id; of repeated doc_ids, one row.
+    """One row of each class: with the smallest doc_id, or without any where the class has none.
 
-    A class without any id keeps one row of each of its fingerprints.
+    Texts are fingerprinted again only of ids that repeat: of such an id a row stays if its own class kept it.
     """
     found = materialize(near_duplicates(docs, radius), "simhash-classes")
-    kept = without_ids(docs, found.filter("doc_id <> component_id").select("doc_id"))
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id")
     again = materialize(again, "simhash-again")
+    removed = found.filter("doc_id <> component_id").select("doc_id")
+    once = without_ids(docs, removed.unionByName(again.filter("doc_id is not null"))).filter("doc_id is not null")
     if again.isEmpty():
-        return kept
-    ids = again.select("doc_id")
-    once = kept.join(small_side(ids.filter("doc_id is not null")), "doc_id", "left_anti").filter("doc_id is not null").select(*docs.columns)
-    numbered = kept.filter("doc_id is not null").join(small_side(ids.filter("doc_id is not null")), "doc_id", "left_semi").select(*docs.columns)
-    whole = found.filter("doc_id is null and component_id is null").select("fp").distinct()
-    fp = F.udf(lambda t: fingerprint(t), "long")
-    nameless = kept.filter("doc_id is null")
-    tagged = nameless.withColumn("__fp", fp("text")).join(whole.withColumnRenamed("fp", "__fp"), "__fp", "left_semi")
-    return once.unionByName(numbered.dropDuplicates(["doc_id"])).unionByName(tagged.dropDuplicates(["__fp"]).select(*docs.columns))
+        return once
+    keepers = found.filter("doc_id <=> component_id").groupBy("root").agg(F.first("component_id").alias("__d"), F.min("fp").alias("__f"))
+    keepers = materialize(keepers.select("__d", "__f"), "simhash-keepers")
+    repeated = small_side(again.withColumnRenamed("doc_id", "__a"))
+    tagged = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("__a")), "left_semi")
+    tagged = tagged.withColumn("__fp", F.udf(lambda t: fingerprint(t), "long")("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__fp") == F.col("__f"))
+    tagged = tagged.join(small_side(keepers), same, "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return once.unionByName(tagged.select(*docs.columns))

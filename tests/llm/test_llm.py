@@ -129,6 +129,14 @@ def test_simhash(docs, rows, none):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_classes(fps, ids)))
 
 
+def test_keep_first_of_ids_that_repeat(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(5))
+    rows = [(0, a), (5, a), (5, b), (7, c), (7, d), (7, d), (9, d), (None, e), (None, e), (None, a)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(kept, [(0, a), (5, b), (7, c), (7, d), (None, e)])
+
+
 def test_simhash_hot_shard(spark):
     rng = random.Random(2)
     fps = list({rng.getrandbits(64) for _ in range(60)})
