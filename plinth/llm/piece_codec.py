@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, islice, pairwise
 
 import ahocorasick
 import numpy as np
@@ -31,18 +33,23 @@ from plinth.llm.shared import ship
 
 SPACE = "▁"
 #: Segments and token pairs that a worker remembers; beyond it the table starts anew.
-SEGMENTS, PAIRS, LONGEST = 300_000, 500_000, 48
+SEGMENTS, PAIRS, LONGEST = 300_000, 250_000, 48
+#: Words that are worked on together; a longer text goes on in further steps.
+STEP = 100_000
+_SHIFT = 24
+_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 class _Segments(dict):
+    """Ids of segments, as bytes of int32."""
+
     def __init__(self, codec: Codec) -> None:
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, segment: str) -> tuple[str, bytes, str]:
-        ids = self.codec.encode_segment(segment)
-        out = (",".join(map(str, ids)), array("i", ids).tobytes(), self.codec.surface(ids))
+    def __missing__(self, segment: str) -> bytes:
+        out = array("i", self.codec.encode_segment(segment)).tobytes()
         if len(segment) <= LONGEST:
             if len(self) >= SEGMENTS:
                 self.clear()
@@ -69,20 +76,34 @@ class Codec:
         self.alphabet = {p for p in self.ids if len(p) == 1}
         self.plain, self.shown = set(self.ids.values()), [p.replace(SPACE, " ") for p in self.pieces]
         self.cut = re.compile(self._cuts())
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.traces: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
         self.segments = _Segments(self)
+        self.numbers = pa.array([f"{i}," for i in range(len(self.pieces))], pa.large_string())
+        self.raw = pa.array([self._bytes_of(i) for i in range(len(self.pieces))], pa.large_binary())
+
+    def _bytes_of(self, token: int) -> bytes:
+        if token in self.byte_of:
+            return bytes([self.byte_of[token]])
+        return b"" if token in self.control else " ⁇ ".encode() if token == self.unknown else self.shown[token].encode()
+
+    def forget(self) -> None:
+        """Drop all that was remembered of texts."""
+        self.segments.clear()
+        self.pairs.clear()
+        self.traces.clear()
 
     def _cuts(self) -> str:
-        """Segments: spaces, then marks, then other characters, for marks that no piece holds after another character."""
+        """Segments: spaces, then marks, then other characters; before a mark there's a cut, but for the few characters
+        that some piece holds before a mark."""
         meets = {pair for p in self.ids for pair in zip(p, p[1:])}  # noqa: B905
         if any(b == SPACE and a != SPACE for a, b in meets):
             raise ValueError("a piece holds a space after another character; texts can't be cut at spaces")
-        marks = {c for p in self.ids for c in p if not c.isalnum() and c != SPACE} | {"\n"}
-        while loose := {b for a, b in meets if b in marks and a not in marks and a != SPACE}:
-            marks -= loose
-        s = "".join(map(re.escape, sorted(marks)))
-        return f"{SPACE}*[{s}]*[^{SPACE}{s}]+|{SPACE}*[{s}]+|{SPACE}+"
+        marks = {c for p in self.ids for c in p if unicodedata.category(c)[0] in "PS" and c != SPACE} | {"\n"}
+        before = {a for a, b in meets if b in marks and a not in marks and a != SPACE}
+        group = lambda chars: "".join(map(re.escape, sorted(chars)))
+        s, held = group(marks), f"(?:(?<=[{group(before)}])[{group(marks)}]+)?" if before else ""
+        return f"{SPACE}*[{s}]*(?:[^{SPACE}{s}]+{held})+|{SPACE}*[{s}]+|{SPACE}+"
 
     def trace(self, token: int) -> tuple[list[float], list[str], list[str]] | None:
         """The merges that make a token of its characters, by the highest score and leftmost first: their scores, and
@@ -112,12 +133,13 @@ class Codec:
         Both traces run side by side, the higher score first and the left one on a tie. A merge of the two parts at
         the boundary comes between them.
         """
-        known = self.pairs.get((left, right))
+        key = (left + 1) << _SHIFT | right
+        known = self.pairs.get(key)
         if known is None:
             known = self._grow_apart(self.trace(left) if left >= 0 else ([], [], [""]), self.trace(right))
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = known
+            self.pairs[key] = known
         return known
 
     def _grow_apart(self, one, two) -> bool:
@@ -141,17 +163,19 @@ class Codec:
     def _known(self, run: str) -> list[int]:
         """Ids of a run of characters that are all in the vocabulary."""
         n = len(run)
+        # tokens are kept one up, so that 0 stands for the start and -1 for a prefix that isn't reached
         last, begin = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = 0
+        known = self.pairs.get
         for end, (token, size) in self.automaton.iter(run):
             at = end + 1
-            if last[at] < 0:
-                start = at - size
-                before = last[start]
-                if (start == 0 or before >= 0) and self.compatible(before, token):
-                    last[at], begin[at] = token, start
+            if last[at] < 0 and (before := last[at - size]) >= 0:
+                fits = known(before << _SHIFT | token)
+                if self.compatible(before - 1, token) if fits is None else fits:
+                    last[at], begin[at] = token + 1, at - size
         ids = []
         while n:
-            ids.append(last[n])
+            ids.append(last[n] - 1)
             n = begin[n]
         return ids[::-1]
 
@@ -195,16 +219,97 @@ class Codec:
                 out.append(" ⁇ " if i == self.unknown else self.pieces[i].replace(SPACE, " "))
         return "".join(out)
 
-    def cuts_of(self, text: str | None) -> list[tuple[str, bytes, str]]:
-        return list(map(self.segments.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE)))) if text else []
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, number of ids of each); each distinct one is looked up once."""
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        known = list(map(self._word, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(known), "<i4"))
+        codes = coded.indices
+        return lists.take(codes).flatten().to_numpy(), sizes[codes.to_numpy()]
+
+    def _word(self, word: str) -> bytes:
+        if word[1:].isalnum():
+            return self.segments[word]
+        return b"".join(map(self.segments.__getitem__, self.cut.findall(word)))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, raw, _ in self.cuts_of(text) for i in np.frombuffer(raw, "<i4")]
+        return [int(i) for part in (_steps(text) if text else ()) for i in self.ids_of(part)[0]]
 
     def decode(self, ids: Sequence[int]) -> str:
         text = self.surface(ids)
         return text[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else text
 
+    def digest(self, texts: Iterable[str | None], with_ids: bool) -> tuple[list[int], list[np.ndarray], list[str], list[str]]:
+        """For each text: number of ids, ids (if wanted), digest of the ids and of the text that they decode to."""
+        out: tuple = ([], [], [], [])
+        group: list[tuple[int, list[str]]] = []  # words of whole texts, for a step together
+
+        def flush() -> None:
+            ids, sizes = self.ids_of([s for _, part in group for s in part])
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *(n for n, _ in group)])]
+            for row in self._digests(ids, ends, with_ids):
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            group.clear()
+
+        waiting = 0
+        for text in texts:
+            parts = _steps(text) if text else iter(([],))
+            first = next(parts, [])
+            if waiting + len(first) > STEP and group:
+                flush()
+                waiting = 0
+            more = next(parts, None)
+            if more is None:
+                group.append((len(first), first))
+                waiting += len(first)
+                continue
+            if group:
+                flush()
+                waiting = 0
+            ids = np.concatenate([self.ids_of(part)[0] for part in chain((first, more), parts)])
+            for column, value in zip(out, next(iter(self._digests(ids, np.array([0, len(ids)]), with_ids))), strict=True):
+                column.append(value)
+        if group:
+            flush()
+        return out
+
+    def _digests(self, ids: np.ndarray, ends: np.ndarray, with_ids: bool) -> Iterator[tuple]:
+        """(number, ids, digest of ids, digest of the decoded text) of each stretch ids[ends[k]:ends[k + 1]].
+
+        The pieces of ids are laid side by side by one take; only what isn't UTF-8 then is decoded by `surface`.
+        """
+        numbers, said = (_laid(t, ids) for t in (self.numbers, self.raw))
+        for a, b in pairwise(ends.tolist()):
+            mine = ids[a:b]
+            listed = hashlib.sha256(numbers[1][numbers[0][a] : max(numbers[0][a], numbers[0][b] - 1)]).hexdigest()
+            skip = int(b > a and self.pieces[mine[0]].startswith(SPACE))
+            raw = said[1][said[0][a] + skip : said[0][b]]
+            try:
+                str(raw, "utf-8")
+            except UnicodeDecodeError:
+                raw = self.decode(mine.tolist()).encode()
+            yield b - a, mine if with_ids else None, listed, hashlib.sha256(raw).hexdigest()
+
+
+def _steps(text: str) -> Iterator[list[str]]:
+    """The words of a text, each with the spaces before it and one more before the first, STEP at a time."""
+    marked = SPACE + text.replace(" ", SPACE)
+    if len(marked) <= STEP:
+        yield _WORDS.findall(marked)
+        return
+    found = (m[0] for m in _WORDS.finditer(marked))
+    while part := list(islice(found, STEP)):
+        yield part
+
+
+def _laid(table: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, memoryview]:
+    """(offsets, bytes) of the table's entries of ids, side by side."""
+    taken = table.take(pa.array(ids))
+    _, offsets, data = taken.buffers()
+    return np.frombuffer(offsets, np.int64)[: len(ids) + 1], memoryview(data or b"")
+
 
 _CODECS: dict[bytes, Codec] = {}
 
@@ -233,23 +338,15 @@ def _mapped(docs: DataFrame, model_path: str | None, with_ids: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(model.value)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
-            counts, raws, id_digests, digests = [], [], [], []
-            for t in b.column("text"):
-                parts = made.cuts_of(t.as_py())
-                raw = b"".join([p[1] for p in parts])
-                counts.append(len(raw) // 4)
-                id_digests.append(sha(",".join([p[0] for p in parts])))
-                digests.append(sha("".join([p[2] for p in parts])[1:]))
-                if with_ids:
-                    raws.append(raw)
+            counts, ids, id_digests, digests = made.digest((t.as_py() for t in b.column("text")), with_ids)
             cols = [b.column(c) for c in keep if c != "text"] + [pa.array(counts, pa.int64())]
             if with_ids:
-                flat = pa.array(np.frombuffer(b"".join(raws), "<i4"), pa.int32())
+                flat = pa.array(np.concatenate(ids or [[]]), pa.int32())
                 cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), flat))
             names = [c for c in keep if c != "text"] + ["n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(id_digests, pa.string()), pa.array(digests, pa.string())], names)
+        made.forget()  # workers are kept for other stages
 
     return docs.mapInArrow(run, ", ".join(fields))
 
