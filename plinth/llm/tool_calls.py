@@ -14,7 +14,8 @@ be an object or its JSON text. An argument value {"$ref": id} depends on another
 * `valid`: known name, arguments that meet its schema (a subset of JSON Schema, see `violations`), known references.
 * `canonical`: sorted keys (by UTF-16 code units), no white space, shortest numbers.
 * Messages that aren't such JSON, null roles and null texts make no rows. Null conv_ids are one conversation; null
-  turns come first. An empty table gives an empty result; further columns are ignored.
+  turns come first. Very long texts are parsed whole, one message at a time. An empty table gives an empty result;
+  further columns are ignored.
 """
 
 from __future__ import annotations
@@ -265,7 +266,7 @@ def as_tool_messages(turns: DataFrame) -> DataFrame:
     """Plain turns as tool messages: a user's turn is a call `ask` (after the user's turn before it, if it has one), an
     assistant's turn the result of the turn before it. Turns that are tool JSON already, and others, stay."""
     name = lambda t: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), t.cast("string"))
-    json_text = F.coalesce(F.col("text"), F.lit("")).rlike(r'^\s*\{.*"tool_call')
+    json_text = F.coalesce(F.col("text"), F.lit("")).rlike(r'(?s)^\s*\{.*"tool_call')
     after = F.when(F.col("turn") >= 2, F.struct(name(F.col("turn") - 2).alias("$ref")))
     call = F.struct(name(F.col("turn")).alias("id"), F.lit("ask").alias("name"), F.struct("text", "turn", after.alias("after")).alias("arguments"))
     asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
