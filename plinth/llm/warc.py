@@ -14,7 +14,8 @@ at most and a running digest; it gives rows (record_id, chunk_no, …, digest so
   Rows that repeat the largest page_id of their group are all responses.
 * Payloads are equal if length and SHA-256 are. Groups of any size are reduced by partial aggregation, and the joined
   side (groups of more than one row) is broadcast only within a counted bound.
-* An empty table gives no records; further columns are ignored.
+* Very long payloads take more segments and chunks, not longer ones. An empty table gives no records; further columns
+  are ignored.
 """
 
 from __future__ import annotations
@@ -103,6 +104,9 @@ class Parser:
                 if self.skip:
                     return
             if self.left < 0:
+                # blank lines may stand before a header, as the reader of lines adds one at the end of a file
+                while self.buffer[:2] == b"\r\n":
+                    del self.buffer[:2]
                 end = self.buffer.find(b"\r\n\r\n")
                 if end < 0:
                     return
@@ -166,9 +170,9 @@ class Parser:
 _CHUNK_SCHEMA = "record_id string, record_type string, refers_to string, chunk_no int, data binary, bytes_so_far long, sha1_so_far string, last boolean"
 
 
-def read(spark: SparkSession, path: str, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """The chunk table of all archives below a path. sha1_so_far covers the bytes fed so far, the whole payload in the
-    row marked `last`; without data, that column is null."""
+    row marked `last`. Blocks are read up to the next CR LF CR LF, so those of other writers may come in longer rows."""
     ship(spark)
     blocks = spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file"))
     names = [x.split()[0] for x in _CHUNK_SCHEMA.split(", ")]
@@ -183,9 +187,8 @@ def read(spark: SparkSession, path: str, chunk: int = CHUNK, with_data: bool = T
                     now, parser = file, Parser(chunk)
                 for piece in (value.as_py(), b"\r\n\r\n"):
                     for row in parser.feed(piece):
-                        if with_data or row[-1]:
-                            out.append(row if with_data else (*row[:4], None, *row[5:]))
-                            size += len(row[4])
+                        out.append(row)
+                        size += len(row[4])
                 if size > 8 << 20:
                     yield _batch(out, types, names)
                     out, size = [], 0
@@ -200,12 +203,12 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
 
 
 def round_trip(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Write all pages to archives in the shared folder, read those back: one row a page."""
+    """Write all pages to archives in the shared folder, read those back as chunks: one row a page, by its last chunk."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages.select("page_id", "url", "html"), path, chunk)
     page = lambda c: F.regexp_extract(c, f"{_ID}(-?[0-9]+)>", 1).try_cast("long")
-    return read(spark, path, chunk, with_data=False).filter("last").select(
+    return read(spark, path, chunk).filter("last").select(
         page("record_id").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest"),
         "record_type", page("refers_to").alias("refers_to"),
     )
