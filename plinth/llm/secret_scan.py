@@ -4,13 +4,15 @@ Everything is built-in SQL on one row: no shuffle, no Python. Spans count code p
 
 * Null and empty texts have no spans: counts of 0, the SHA-256 of an empty string, an empty `spans`.
 * Repeated rows give repeated results; a null doc_id is kept as it is; further columns are ignored.
-* Cost is linear in the length of a text: prefix sums of match positions go by blocks of BLOCK matches, and
-  each window updates the counts of its predecessor by one character in and one out.
+* Cost is linear in the length of a text and the number of its matches: places are summed by blocks of BLOCK matches,
+  and each window updates the counts of its predecessor by one character in and one out, in pieces of PIECE windows.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-BLOCK = 256
+#: Matches, and windows, whose places are found in one array.
+BLOCK, PIECE = 64, 256
 SCALE = 1 << 20
 #: Candidates that are known not to be secrets: UUIDs, plain numbers, documented samples, runs of one alphabet.
 ALLOW = (
@@ -47,93 +50,124 @@ CLASSES = (
 WINDOW = 20
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_PLACE = "array<struct<start:int,end:int,hit:string,value:string>>"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their places: array of (start, end, text), in order; nothing if there is no match."""
-    pat = F.lit(pattern)
-    return F.when(
-        text.rlike(pattern),
-        F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pat, F.lit(0)).alias("hits")),
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once; named in a lambda instead, it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _starts(found: Column) -> Column:
-    """Start of each match: the lengths of all gaps and matches before it, by blocks, then within the block."""
-    gaps, hits = found["gaps"], found["hits"]
-    lens = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(
-        F.sequence(F.lit(0), ((F.size(hits) - 1) / BLOCK).cast("int")),
-        lambda b: add(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK))),
-    )
-    bases = F.transform(blocks, lambda _, b: add(F.slice(blocks, F.lit(1), b)))
-    return F.transform(
-        hits,
-        lambda _, i: F.element_at(bases, (i / BLOCK).cast("int") + 1)
-        + add(F.slice(lens, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
-        + F.length(F.element_at(gaps, i + 1)),
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK; none if it is empty. `items` has to be a variable of _let."""
+    count = F.ceil(F.size(items) / BLOCK).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(
+        F.slice(F.array(items), 1, 0)
     )
 
 
-def _spans(found: Column, kind: int, keep: Column | None = None) -> Column:
-    """Spans of one kind; `keep` is a parallel array of booleans."""
-    hits = found["hits"]
-    each = F.zip_with(
-        _starts(found), hits, lambda s, h: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(h)).alias("end"))
-    )
-    if keep is not None:
-        each = F.transform(
-            F.filter(F.arrays_zip(each.alias("span"), keep.alias("keep")), lambda x: x["keep"]), lambda x: x["span"]
-        )
-    return F.coalesce(F.when(found.isNotNull(), each), F.array().cast(_SPAN))
+def _places(text: Column, pattern: str, values: Column | None = None) -> Column:
+    """Matches of a pattern in order: array of (start, end, hit, value), null if there is none.
+
+    A match starts after the gaps and matches before it. Their lengths are summed by blocks, then within each block.
+    """
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    each = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), (hits if values is None else values).alias("value"))
+
+    def placed(blocks: Column) -> Column:
+        length = lambda x: F.length(x["gap"]) + F.length(x["hit"])
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + length(x)))
+        bases = F.aggregate(
+            sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"],
+        )
+
+        def within(base: Column, block: Column) -> Column:
+            def step(s: Column, x: Column) -> Column:
+                start = s["at"] + F.length(x["gap"])
+                end = start + F.length(x["hit"])
+                place = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["value"].alias("value"))
+                return F.struct(end.alias("at"), F.concat(s["out"], F.array(place)).alias("out"))
+
+            zero = F.struct(base.alias("at"), F.array().cast(_PLACE).alias("out"))
+            return F.aggregate(block, zero, step, lambda s: s["out"])
+
+        return F.flatten(F.zip_with(bases, blocks, within))
+
+    # the gap after the last match has no hit
+    found = _let(each, lambda all_: _let(_blocks_of_hits(all_), placed))
+    return F.when(text.rlike(pattern), found)
+
 
+def _blocks_of_hits(all_: Column) -> Column:
+    return _let(F.filter(all_, lambda x: x["hit"].isNotNull()), _blocks)
 
-def _entropy_runs(candidate: Column, start: Column, kind: int, bits: float, window: int) -> Column:
+
+def _spans(places: Column, kind: int, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of one kind, of those places that are kept."""
+    kept = places if keep is None else F.filter(places, keep)
+    spans = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+    return F.coalesce(spans, F.array().cast(_SPAN))
+
+
+def _entropy_runs(candidate: Column, start: Column, kind: int, c: CharClass, window: int) -> Column:
     """Merged windows of one candidate whose entropy reaches `bits`.
 
     With n(c) the count of c in the window, H = log2(W) - sum n(c) log2 n(c) / W; the sum is kept in whole units of
-    1/SCALE and changed by one entering and one leaving character at each step.
+    1/SCALE and changed by one entering and one leaving character at each step. Windows go by pieces of PIECE, each of
+    which counts its first window anew.
     """
     table = F.array(*[F.lit(round(n * math.log2(n) * SCALE) if n else 0) for n in range(window + 2)])
-    most = math.floor(window * (math.log2(window) - bits) * SCALE)
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
+    most = math.floor(window * (math.log2(window) - c.bits) * SCALE)
+    alphabet = _alphabet(c.charset)
     f = lambda n: F.element_at(table, n + 1)
 
-    def step(state: Column, i: Column) -> Column:
-        a = F.element_at(codes, i)
-        b = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
-        had = F.element_at(state["counts"], a + 1)
-        left = F.when(b >= 0, F.element_at(state["counts"], F.greatest(b, F.lit(0)) + 1) + (a == b).cast("int")).otherwise(F.lit(0))
-        total = (
-            state["total"] + f(had + 1) - f(had) + F.when(left > 0, f(F.greatest(left - 1, F.lit(0))) - f(left)).otherwise(F.lit(0))
+    def piece(codes: Column, first: Column) -> Column:
+        """Starts, from 0 in the piece, of its windows that reach `bits`."""
+
+        def step(s: Column, i: Column) -> Column:
+            a = F.element_at(codes, i)
+            b = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+            had = F.element_at(s["counts"], a)
+            left = F.when(b > 0, F.element_at(s["counts"], F.greatest(b, F.lit(1))) + (a == b).cast("int")).otherwise(F.lit(0))
+            total = s["total"] + f(had + 1) - f(had) + F.when(left > 0, f(F.greatest(left - 1, F.lit(0))) - f(left)).otherwise(F.lit(0))
+            counts = F.transform(s["counts"], lambda n, k: n + (k + 1 == a).cast("int") - (k + 1 == b).cast("int"))
+            hit = (i >= window) & (total <= most)
+            out = F.when(hit, F.concat(s["out"], F.array(first + i - window))).otherwise(s["out"])
+            return F.struct(counts.alias("counts"), total.cast("int").alias("total"), out.alias("out"))
+
+        zero = F.struct(
+            F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).alias("total"), F.array().cast("array<int>").alias("out")
         )
-        counts = F.transform(state["counts"], lambda n, k: n + (k == a).cast("int") - (k == b).cast("int"))
-        hit = (i >= window) & (total <= most)
-        begin = start + i - window
-        runs, last = state["runs"], F.element_at(state["runs"], -1)
-        mk = lambda s: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (begin + window).alias("end"))
-        grown = F.when(
-            (F.size(runs) > 0) & (F.coalesce(last["end"], F.lit(-1)) >= begin),
-            F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(mk(last["start"]))),
-        ).otherwise(F.concat(runs, F.array(mk(begin))))
-        return F.struct(
-            counts.alias("counts"), total.cast("int").alias("total"), F.when(hit, grown).otherwise(runs).cast(_SPAN).alias("runs")
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda s: s["out"])
+
+    def pieces(codes: Column) -> Column:
+        count = F.ceil((F.size(codes) - window + 1) / PIECE).cast("int")
+        each = lambda p: _let(F.slice(codes, p * PIECE + 1, F.lit(PIECE + window - 1)), lambda mine: piece(mine, p * PIECE))
+        return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), each))
+
+    def merged(at: Column) -> Column:
+        """Runs of windows that overlap or touch the one before them."""
+        far = lambda i, j: F.coalesce(F.abs(F.get(at, j) - F.get(at, i)) > window, F.lit(True))
+        starts, ends = F.filter(at, lambda x, i: far(i, i - 1)), F.filter(at, lambda x, i: far(i, i + 1))
+        return F.zip_with(
+            starts, ends, lambda s, e: F.struct((start + s).alias("start"), F.lit(kind).alias("kind"), (start + e + window).alias("end"))
         )
 
-    zero = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).alias("total"), F.array().cast(_SPAN).alias("runs")
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step, lambda s: s["runs"])
+    codes = F.transform(F.split(candidate, ""), lambda x: F.instr(F.lit(alphabet), x))
+    return _let(codes, lambda of: _let(pieces(of), merged))
+
+
+def _alphabet(charset: str) -> str:
+    return "".join(ch for ch in map(chr, range(33, 127)) if re.fullmatch(f"[{charset}]", ch))
 
 
 def _entropy_spans(text: Column, kind: int, c: CharClass, window: int, allow: tuple[str, ...]) -> Column:
-    found = _located(text, f"[{c.charset}]{{{window},}}")
-    pairs = F.arrays_zip(_starts(found).alias("start"), found["hits"].alias("hit"))
+    places = _places(text, f"[{c.charset}]{{{window},}}")
     allowed = lambda x: F.greatest(F.lit(False), F.lit(False), *[x.rlike(a) for a in allow])
-    wanted = F.filter(pairs, lambda p: p["hit"].rlike(c.needs) & ~allowed(p["hit"]))
-    runs = F.flatten(F.transform(wanted, lambda p: _entropy_runs(p["hit"], p["start"], kind, c.bits, window)))
-    return F.coalesce(F.when(found.isNotNull(), runs), F.array().cast(_SPAN))
+    wanted = F.filter(places, lambda p: p["hit"].rlike(c.needs) & ~allowed(p["hit"]))
+    runs = F.flatten(F.transform(wanted, lambda p: _entropy_runs(p["hit"], p["start"], kind, c, window)))
+    return F.coalesce(runs, F.array().cast(_SPAN))
 
 
 def scan_spans(
@@ -141,23 +175,34 @@ def scan_spans(
 ) -> tuple[Column, Column]:
     """(base spans, added spans) of a text, as arrays of (start, kind number in KINDS, end)."""
     text = F.coalesce(text, F.lit(""))
-    assign = _located(text, ASSIGN)
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     base = F.concat(
-        _spans(assign, 0, F.when(assign.isNotNull(), F.transform(values, lambda v: F.length(v) >= 6))),
-        _spans(_located(text, ACCESS), 1),
-        _spans(_located(text, HEX), 2),
+        _spans(_places(text, ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))), 0, lambda x: F.length(x["value"]) >= 6),
+        _spans(_places(text, ACCESS), 1),
+        _spans(_places(text, HEX), 2),
     )
     added = [_entropy_spans(text, k, c, window, allow) for k, c in enumerate(classes, 3)]
-    return base, F.concat(*added)
+    return F.array_sort(base), F.array_sort(F.concat(*added))
+
+
+def _clear(more: Column, base: Column) -> Column:
+    """Spans of `more` that touch none of `base` (in order): blocks of `base` are passed over by their outer bounds."""
+
+    def outside(blocks: Column) -> Column:
+        meets = lambda x, m: (x["start"] < m["end"]) & (m["start"] < x["end"])
+        return F.filter(more, lambda m: ~F.exists(blocks, lambda k: meets(k, m) & F.exists(k["spans"], lambda x: meets(x, m))))
+
+    bounded = lambda blocks: F.transform(
+        blocks,
+        lambda k: F.struct(F.element_at(k, 1)["start"].alias("start"), F.array_max(F.transform(k, lambda x: x["end"])).alias("end"), k.alias("spans")),
+    )
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), _let(_let(base, lambda all_: bounded(_blocks(all_))), outside)).otherwise(more)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, added): base pattern spans, and those entropy spans that touch no base span."""
     base, added = scan_spans(F.col(text_col))
     raw = docs.select(F.col(id_col), base.alias("base"), added.alias("more"))
-    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return raw.select(id_col, F.array_sort("base").alias("base"), F.array_sort(clear).alias("added"))
+    return raw.select(id_col, "base", _clear(F.col("more"), F.col("base")).alias("added"))
 
 
 def written(spans: Column) -> Column:
