@@ -4,23 +4,28 @@ Rows are ordered by a 64-bit key (a hash of doc_id and text, so shards are mixed
 place in the written key table. Each round counts the exact bytes in the 2**RADIX_BITS cells of the prefixes that
 still hold a splitter, over all partitions, and descends into the cell that the target falls in; it stops once the
 bytes below a cell boundary are within the tolerance, or goes on into the places of one key's rows. The driver sees
-at most (shards - 1) * 2**RADIX_BITS counts a round. Then rows are exchanged once, by shard and cell, and numbered.
+at most (shards - 1) * 2**RADIX_BITS counts a round. Then rows are exchanged once, by shard and cell, and numbered in
+the order of key and place. Cells are as fine as the number of rows asks for (CELL_ROWS in each).
 
 Groups of equal texts, or of wholly equal rows, may be of any size: they are cut where the bytes say. A cell of more
-than HOT_ROWS rows (equal rows, as the key is a hash) is numbered by source partition. Null texts have no bytes and
-size 1; a null doc_id is a value like any other; an empty table gives an empty result; further columns are ignored.
+than HOT_ROWS rows holds many equal ones, as the key is a hash; its rows are dealt out by key and source partition,
+which is the same order. Null texts have no bytes and size 1, very long ones are only measured; a null doc_id is a value
+like any other; an empty table gives an empty result; further columns are ignored (`write_shards` keeps them).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plinth.llm.shared import materialize, small_side
+from plinth.llm.shared import materialize, small_side, unused
 
 RADIX_BITS = 12
-HOT_ROWS = 4096
+#: Rows of a cell in the mean, and rows from which on a cell is dealt out by key and source partition.
+CELL_ROWS, HOT_ROWS = 1024, 4096
 #: Bytes that a splitter may be off, as a share of a shard, and in bytes at least.
 TOLERANCE = 0.0005
 
@@ -85,12 +90,12 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
     return [out[k] for k in sorted(out)]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, key, place), written once; no text is carried further."""
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(size, text_crc32, key, place, and doc_id or, as a struct `doc`, the whole row), written once."""
     text = F.coalesce("text", F.lit(""))
     return materialize(
         docs.select(
-            "doc_id",
+            F.struct(*[docs[c] for c in docs.columns]).alias("doc") if whole else F.col("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).alias("key"),
@@ -101,32 +106,44 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def shard_rows(rows: DataFrame, shards: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
-    """Adds shard and slot (gapless from 0, in key order) to rows with key, place and size."""
+    """Adds shard and slot (gapless from 0, in the order of key and place) to rows with key, place and size."""
     cuts = splitters(rows, shards, tolerance)
+    bits = max(RADIX_BITS, math.ceil(math.log2(max(1, rows.count()) / CELL_ROWS)))
     shard = F.lit(0)
     for key, place in cuts:
         shard = shard + ((F.col("key") > key) | ((F.col("key") == key) & (F.col("place") >= place))).cast("int")
-    celled = rows.withColumn("shard", shard).withColumn("cell", _prefix(F.col("key"), 1, 64))
-    sizes = celled.groupBy("shard", "cell", F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n"))
-    sizes = materialize(sizes, "shard-counts")
-    hot = sizes.groupBy("shard", "cell").agg(F.sum("n").alias("m")).filter(F.col("m") > HOT_ROWS).select("shard", "cell", F.lit(True).alias("hot"))
-    hot = materialize(hot, "shard-hot")
-    part = F.when(F.col("hot"), F.col("part")).otherwise(F.lit(0))
-    group = ["shard", "cell", "part"]
-    sizes = sizes.join(small_side(hot), ["shard", "cell"], "left").select("shard", "cell", part.alias("part"), "n")
-    sizes = sizes.groupBy(*group).agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(W.partitionBy("shard").orderBy("cell", "part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = materialize(sizes.select(*group, F.coalesce(before, F.lit(0)).alias("offset")), "shard-offsets")
-    placed = celled.join(small_side(hot), ["shard", "cell"], "left").withColumn("part", F.when(F.col("hot"), F.shiftright("place", 33)).otherwise(F.lit(0)))
-    placed = placed.join(small_side(offsets), group)
+    celled = rows.withColumn("shard", shard).withColumn("cell", F.shiftright("key", 64 - bits))
+    sizes = materialize(celled.groupBy("shard", "cell").agg(F.count("*").alias("n")), "shard-counts")
+    hot = small_side(materialize(sizes.filter(F.col("n") > HOT_ROWS).select("shard", "cell", F.lit(True).alias("hot")), "shard-hot"))
+    dealt = celled.join(hot, ["shard", "cell"], "left")
+    dealt = dealt.withColumns({"own": F.when(F.col("hot"), F.col("key")).otherwise(0), "part": F.when(F.col("hot"), F.shiftright("place", 33)).otherwise(0)})
+    group = ["shard", "cell", "own", "part"]
+    inner = dealt.filter("hot").groupBy(*group).agg(F.count("*").alias("n"))
+    plain = sizes.filter(F.col("n") <= HOT_ROWS).select("shard", "cell", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("part"), "n")
+    sizes = materialize(plain.unionByName(inner), "shard-groups").withColumn("coarse", F.shiftright("cell", bits - RADIX_BITS))
+    # offsets in two steps, of coarse cells in a shard and of groups in a coarse cell, so no task numbers all groups
+    below = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    coarse = sizes.groupBy("shard", "coarse").agg(F.sum("n").alias("n")).withColumn("base", below(W.partitionBy("shard").orderBy("coarse")))
+    offsets = sizes.withColumn("inside", below(W.partitionBy("shard", "coarse").orderBy("cell", "own", "part")))
+    offsets = offsets.join(F.broadcast(coarse.drop("n")), ["shard", "coarse"])  # 2**RADIX_BITS rows and one a shard at most
+    offsets = materialize(offsets.select(*group, (F.col("base") + F.col("inside")).alias("offset")), "shard-offsets")
+    placed = dealt.join(small_side(offsets), group)
     number = F.row_number().over(W.partitionBy(*group).orderBy("key", "place")) - 1
-    return placed.withColumn("slot", (F.col("offset") + number).cast("long"))
+    return placed.withColumn("slot", (F.col("offset") + number).cast("long")).withColumn("shard", F.col("shard").cast("int"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Law `bytes`: the sizes of any two shards differ by no more than the tolerance and one row."""
     done = shard_rows(keyed(docs), shards)
     return done.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8) -> str:
+    """Write whole rows as Parquet, a folder for each shard, with their slot; they are exchanged once. Returns the name
+    of the shard column (`shard`, or one that the table doesn't have yet); the slot column is named likewise."""
+    shard, slot = unused(docs, "shard"), unused(docs, "slot")
+    done = shard_rows(keyed(docs, whole=True), shards)
+    done.select("doc.*", F.col("slot").alias(slot), F.col("shard").alias(shard)).write.partitionBy(shard).parquet(path)
+    return shard

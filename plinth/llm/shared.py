@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table (ids, counts, thresholds: under 64 bytes a row) that may be broadcast.
@@ -40,9 +40,24 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if n <= limit else df.hint("merge")
 
 
-def without_ids(docs: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose key is not in `removed` (one column, named as the key). Rows with a null key stay."""
-    return docs.join(small_side(removed.select(key).distinct()), key, "left_anti").select(*docs.columns)
+def text_hash(docs: DataFrame) -> Column:
+    """With doc_id, what tells rows of `docs` apart; null texts count as empty."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id and text_hash are none of `removed` (doc_id, h). A null doc_id is an id like any other."""
+    keys = removed.select("doc_id", "h").distinct()
+    keys = small_side(keys, keys.count())
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]) & (text_hash(docs) == keys["h"]), "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
