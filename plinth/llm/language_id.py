@@ -9,7 +9,8 @@ sparse tables of (run, language) by order, and a text's exact code length is a s
 
 Bytes are coded after ASCII letters are lower-cased; all 256 have codes of their own.
 
-* Null texts, and those without a letter, are `und` with score 0. Ties go to the language first in order.
+* Null texts, and those without a letter (Unicode category L), are `und` with score 0. Very long texts are scored in
+  steps. Ties go to the language first in order.
 * Rows with a null lang or doc_id aren't learned from but are predicted. Repeated rows repeat. Without any row to learn
   from, all are `und`. An empty table gives an empty result. Further columns are ignored.
 * The tables broadcast are bounded by the sample: (runs + contexts) * languages * 4 bytes. Beyond TABLE_BYTES fitting
@@ -18,7 +19,6 @@ Bytes are coded after ASCII letters are lower-cased; all 256 have codes of their
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plinth.llm.shared import materialize, ship, small_side
+from plinth.llm.shared import materialize, ship, small_side, text_hash, without_rows
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 300
@@ -36,8 +36,7 @@ DOCS_PER_LANGUAGE = 300
 TABLE_BYTES = 256 << 20
 UNKNOWN = "und"
 #: Bytes of text that are scored at once.
-STEP = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+STEP = 1 << 17
 
 
 def held_out(doc_id: Column) -> Column:
@@ -89,7 +88,7 @@ class Model:
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         bits = self.code_lengths(text)
         best = int(bits.argmin())
@@ -97,11 +96,25 @@ class Model:
 
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """(lang, text) of the rows to learn from: ids are ranked without texts, then texts are read for them."""
+    """(lang, text) of the rows to learn from: ids are ranked without texts, then texts are read for them.
+
+    Only ids under a hash threshold are ranked, set by the language's count to pass twice the number wanted; where ids
+    repeat so often that too few pass, the threshold is raised.
+    """
     slim = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = slim.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("doc_id", "lang")
-    picked = materialize(picked, "lang-sample")
+    slim = slim.withColumn("order", F.xxhash64("doc_id"))
+    counts = materialize(slim.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    sized = slim.join(small_side(counts), "lang")
+    wanted, order = 2 * per_language, W.partitionBy("lang").orderBy("order", "doc_id")
+    while True:
+        share = F.lit(float(wanted)) / F.col("n")
+        under = sized.filter(F.col("order") / 2.0**64 + 0.5 <= share).select("doc_id", "lang", "order").distinct()
+        ranked = under.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+        picked = materialize(ranked.select("doc_id", "lang"), "lang-sample")
+        enough = picked.groupBy("lang").agg(F.count("*").alias("got"))
+        if counts.join(enough, "lang", "left").filter((F.coalesce("got", F.lit(0)) < per_language) & (F.col("n") > wanted)).isEmpty():
+            break
+        wanted *= 8
     return docs.select("doc_id", "lang", "text").join(small_side(picked), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
@@ -182,7 +195,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             cols = [b.column(0), b.column(2), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    rows = docs.select("doc_id", "text", text_hash(docs).alias("h"))
     return rows.mapInArrow(run, "doc_id long, h long, lang_pred string, score double")
 
 
@@ -195,7 +208,5 @@ def identify_documents(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -
 def keep_identified(docs: DataFrame, min_score: float = 0.5, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """Documents whose language is told; null and letterless texts, and those of an unsure language, go."""
     found = predict(docs, fit(docs, per_language))
-    bad = materialize(found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select("doc_id", "h").distinct(), "lang-rejected")
-    narrow = small_side(bad.withColumnsRenamed({"doc_id": "__d", "h": "__h"}))
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"))
-    return docs.join(narrow, same, "left_anti").select(*docs.columns)
+    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select("doc_id", "h")
+    return without_rows(docs, materialize(bad, "lang-rejected"))
