@@ -137,6 +137,52 @@ def test_keep_first_of_ids_that_repeat(spark):
     same(kept, [(0, a), (5, b), (7, c), (7, d), (None, e)])
 
 
+def five(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_near_classes(texts, least=0.8):
+    sets, root = [five(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if alike(sets[a], sets[b]) >= least and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    return root
+
+
+def test_keep_first_of_near_copies(spark):
+    """Pairs around similarity 0.8: nearly all above it are met, those well below it stay."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    rows, similar = [], {}
+    for k in range(0, 400, 2):
+        base = [word() for _ in range(rng.randrange(60, 400))]
+        copy = base[:]
+        for _ in range(max(1, int(len(base) * rng.choice([0.005, 0.01, 0.02, 0.06, 0.12])))):
+            copy[rng.randrange(len(copy))] = word()
+        rows += [(k, " ".join(base)), (k + 1, " ".join(copy))]
+        similar[k + 1] = alike(five(rows[-1][1]), five(rows[-2][1]))
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, 400, 2))
+    above, below = [k for k, j in similar.items() if j >= 0.8], [k for k, j in similar.items() if j < 0.6]
+    assert len(above) > 50 and len(below) > 30
+    assert sum(k not in kept for k in above) >= 0.95 * len(above) and sum(k in kept for k in below) >= 0.95 * len(below)
+
+
+def test_keep_first_on_odd_tables(spark, none):
+    assert simhash.keep_first(none).count() == 0
+    rows = [(None, None, 1, "p"), (None, "", 2, "q"), (3, " ", 3, "r"), (4, "a b c", 4, "s"), (5, "A  b\tc", 5, "t"), (None, "a b c", 6, "u"), (None, "lonely", 7, None), (None, "lonely", 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, hash string")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    same(kept.collect(), [rows[2], rows[3], rows[6]])
+
+
 def test_simhash_hot_shard(spark):
     rng = random.Random(2)
     fps = list({rng.getrandbits(64) for _ in range(60)})
@@ -145,10 +191,39 @@ def test_simhash_hot_shard(spark):
             fps.append(f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
     fps = sorted(set(fps))
     frame = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    links = simhash.fingerprint_links(frame, len(fps), cap=3)
-    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
-    want = brute_classes(fps, [simhash._signed(f) for f in fps])
-    assert [roots.get(simhash._signed(f), simhash._signed(f)) for f in fps] == want
+    for cap in (3, simhash.SHARD_CAP):
+        links = simhash.fingerprint_links(frame, len(fps), cap=cap)
+        roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+        want = brute_classes(fps, [simhash._signed(f) for f in fps])
+        assert [roots.get(simhash._signed(f), simhash._signed(f)) for f in fps] == want
+
+
+def test_bk_tree_joins_all_classes():
+    rng = random.Random(4)
+    for radius in (4, 12, 46):
+        values = [rng.getrandbits(256) for _ in range(40)]
+        for _ in range(300):
+            v = rng.choice(values)
+            for _ in range(rng.randrange(1, radius + 8)):
+                v ^= 1 << rng.randrange(256)
+            values.append(v)
+        values = sorted(set(values))
+        want = brute_classes(values, values, radius)
+        for left, right in ((values, None), (values[::2], values[1::2])):
+            parent = {v: v for v in values}
+
+            def up(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            links = simhash.shard_links(left, right, radius)
+            if right is not None:
+                links += simhash.shard_links(left, None, radius) + simhash.shard_links(right, None, radius)
+            assert all(0 < (u ^ v).bit_count() <= radius for u, v in links)
+            for u, v in links:
+                parent[max(up(u), up(v))] = min(up(u), up(v))
+            assert [up(v) for v in values] == want
 
 
 def brute_contamination(text, items):
@@ -168,7 +243,8 @@ def brute_contamination(text, items):
 def test_decontamination(spark, docs, rows, none):
     items = [(1, ITEM), (10, ITEM2), (2, "one"), (3, None), (4, " .. "), (None, "two three"), (1, ITEM), (5, "the the"), (6, "missing everywhere here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    same(decontaminate.check_documents(docs, bench).collect(), [(r[0], *brute_contamination(r[1], items)) for r in rows])
+    near = brute_near([r[1] for r in rows], items, decontaminate.SLACK)
+    same(decontaminate.check_documents(docs, bench).collect(), [(r[0], *brute_contamination(r[1], items), len(n)) for r, n in zip(rows, near, strict=True)])
     assert decontaminate.check_documents(none, bench).count() == 0
     empty = decontaminate.check_documents(docs, bench.limit(0)).collect()
     assert len(empty) == len(rows) and not any(r["n_hit"] for r in empty)
@@ -189,12 +265,39 @@ def test_decontamination_of_repeated_rows(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted([4, 5, 6, 7] * copies)
 
 
+def brute_near(texts, items, slack):
+    """Ids of the items that have a near window, by text."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    pairs = lambda w: list(zip(w, w[1:])) or [(w[0], None)]  # noqa: B905, E731
+    all_ = [words(t) for t in texts]
+    count = Counter(t for w in all_ for t in [*zip(w, w[1:]), *((x, None) for x in w)])  # noqa: B905
+    out = [set() for _ in texts]
+    for item, t in items:
+        v = words(t)
+        for k in range(max(len(v) - 7, 1) if v and item is not None else 0):
+            terms = pairs(v[k : k + 8])
+            order = sorted((t in terms[:i], count[t], i) for i, t in enumerate(terms) if count[t])[:3]
+            if len(order) < min(2, len(terms)):
+                continue
+            for row, w in zip(out, all_, strict=True):
+                starts = [[p - i for p in range(len(w)) if terms[i] in ((w[p], w[p + 1] if p + 1 < len(w) else 0), (w[p], None))] for _, _, i in order]
+                if any(all(any(s <= x <= s + slack for x in mine) for mine in starts) for s in {x for mine in starts for x in mine}):
+                    row.add(item)
+    return out
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b x c y d"), (2, "d c b a"), (3, "a b c"), (4, "a z z z z z z z z z b c d")], "doc_id long, text string")
-    windows = decontaminate.item_windows(spark.createDataFrame([(1, "a b c d")], "item_id long, text string"))
-    index = decontaminate.build_index(docs, windows.vocabulary)
-    assert {r["doc_id"] for r in decontaminate.proximity_matches(index, windows, slack=2).collect()} == {1, 2}
-    assert decontaminate.phrase_matches(index, windows).count() == 0
+    rng = random.Random(2)
+    item = "one two three four five six seven eight nine ten eleven twelve".split()
+    texts = [" ".join(item), "", None, " ".join(item[::-1]), " ".join(item[:7] + ["extra"] + item[7:]), " ".join([*item[:5], *item[6:]])]
+    texts += [" ".join(item[:6] + ["more"] * n + item[6:]) for n in range(1, 9)]
+    texts += [" ".join(rng.choices(item, k=60)) for _ in range(30)] + [texts[0]]
+    items = [(1, " ".join(item)), (2, "six seven eight"), (3, "lonely"), (4, "two two"), (5, "ten"), (6, "nowhere one two three"), (7, "eleven never"), (None, "one")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for slack in (0, 2, 4):
+        found = {r["doc_id"]: r["n_near"] for r in decontaminate.contamination(docs, bench, slack=slack).collect()}
+        assert [found[k] for k in range(len(texts))] == [len(x) for x in brute_near(texts, items, slack)]
 
 
 def check_shards(found, rows, shards=8):
@@ -206,12 +309,22 @@ def check_shards(found, rows, shards=8):
         assert abs(sum(r["size"] for r in mine) - total / shards) <= largest + total * histogram_sort.TOLERANCE
 
 
-def test_histogram_sort(spark, docs, rows, none, monkeypatch):
+def test_histogram_sort(spark, docs, rows, none, monkeypatch, tmp_path):
     check_shards(histogram_sort.shard_documents(docs).collect(), rows)
     assert histogram_sort.shard_documents(none).count() == 0
     monkeypatch.setattr(histogram_sort, "HOT_ROWS", 20)
     hot = [(7 if k % 3 else k, "same" if k % 3 else "x" * (k % 17)) for k in range(3000)]
-    check_shards(histogram_sort.shard_documents(spark.createDataFrame(hot, "doc_id long, text string").repartition(5)).collect(), hot)
+    table = spark.createDataFrame(hot, "doc_id long, text string").repartition(5)
+    check_shards(histogram_sort.shard_documents(table).collect(), hot)
+    for cell_rows in (1024, 1):
+        monkeypatch.setattr(histogram_sort, "CELL_ROWS", cell_rows)
+        done = histogram_sort.shard_rows(histogram_sort.keyed(table)).select("shard", "slot", "key", "place").collect()
+        assert [r[2:] for r in sorted(done)] == sorted(r[2:] for r in done)
+    shard = histogram_sort.write_shards(docs, f"{tmp_path}/shards")
+    assert shard == "shard_"
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    same(back.select(*docs.columns).collect(), rows)
+    assert all(sorted(r["slot"] for r in back.collect() if r[shard] == k) == list(range(back.filter(f"{shard} = {k}").count())) for k in range(8))
 
 
 def test_piece_codec(docs, rows, none):
@@ -240,12 +353,26 @@ def test_piece_codec_on_odd_texts():
         assert made.decode(ids) == sp.decode(ids)
 
 
+def test_piece_codec_in_steps(monkeypatch, rows):
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+    made = piece_codec.Codec(open(piece_codec.default_model(), "rb").read())
+    monkeypatch.setattr(piece_codec, "STEP", 40)
+    monkeypatch.setattr(piece_codec, "SEGMENTS", 5)
+    texts = [r[1] and r[1][:3000] for r in rows] + ["a  b ▁c m².x ²,² " * 9, "x" * 500 + " y" * 100, "😀 " * 60]
+    counts, ids, id_digests, digests = made.digest(texts, True)
+    for k, t in enumerate(texts):
+        want = sp.encode(t or "")
+        assert ids[k].tolist() == want == made.encode(t) and counts[k] == len(want)
+        assert id_digests[k] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert digests[k] == hashlib.sha256(sp.decode(want).encode()).hexdigest()
+
+
 def test_language_id(spark, none):
     rng = random.Random(1)
     syllables = {"en": ["th", "er", "on", "an"], "fr": ["é", "eau", "oi", "le"], "es": ["ñ", "ción", "os", "ra"]}
     prose = lambda lang: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(30))
     rows = [(k, prose(lang), lang) for k in range(60) for lang in [rng.choice(["en", "fr", "es"])]]
-    odd = [(900, None, "en"), (901, "", "en"), (902, "12 !!", "fr"), (903, prose("fr"), None), (None, prose("es"), "es"), rows[0]]
+    odd = [(900, None, "en"), (901, "", "en"), (902, "12 ² ½ Ⅷ _ !!", "fr"), (903, prose("fr"), None), (None, prose("es"), "es"), rows[0]]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
     found = language_id.identify_documents(docs).collect()
     assert len(found) == len(rows) + len(odd)
@@ -261,6 +388,18 @@ def test_language_id(spark, none):
     assert kept.columns == docs.columns and kept.count() == len(found) - 3
 
 
+def test_language_sample_is_by_smallest_hash(spark):
+    rows = [(k, f"t{k}", "en" if k % 3 else "fr") for k in range(3000)] + [(7, "again", "de")] * 500 + [(8, "other", "de"), (None, "x", "de"), (9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    order = {r["doc_id"]: r["h"] for r in docs.filter("doc_id is not null").selectExpr("doc_id", "xxhash64(doc_id) h").distinct().collect()}
+    want = set()
+    for lang in ("en", "fr", "de"):
+        ids = sorted({k for k, _, x in rows if x == lang and k is not None and not held(k)}, key=order.get)[:20]
+        want |= {(x, t) for k, t, x in rows if x == lang and k in ids}
+    assert {tuple(r) for r in language_id._sample(docs, 20).collect()} == want
+
+
 def test_ppm_costs_are_probabilities(spark):
     docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(["abra cadabra", "abc", "bar cab"] * 4)], "doc_id long, text string, lang string")
     model = language_id.fit(docs)
@@ -366,6 +505,10 @@ def test_warc(spark):
     for chunk in (1 << 16, 700):
         same(warc.round_trip(pages, chunk).collect(), want)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    for k, end in enumerate(["\r", "\n", "\r\n", "\n\r", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\n\n", "\r\r\n", "", "\r\n" * 6]):
+        text = "z" * (k % 3) + end
+        alone = spark.createDataFrame([(1, "u", text, "extra")], "page_id long, url string, html string, payload string").coalesce(1)
+        same(warc.round_trip(alone).collect(), [(1, len(text), hashlib.sha1(text.encode()).hexdigest(), "response", None)])
     path = warc.scratch_path(spark, "test-warc")
     warc.write(pages, path, 700)
     chunks = sorted(warc.read(spark, path, 700).filter("record_id like '%:7>'").collect(), key=lambda r: r["chunk_no"])
@@ -423,6 +566,9 @@ def test_tool_calls(spark):
     assert got[1, "d"]["errors"].split("; ") == ["$.text: too short", "$.turn: too small", "$.more: unknown", "unknown reference zz"]
     assert got[2, "p"]["level"] is None and got[2, "q"]["errors"] == "cycle" and got[None, "m"]["errors"].startswith("$: not JSON")
     assert tool_calls.link(turns.limit(0), tool_calls.ASK).count() == 0
+    broken = '{\n "tool_calls": [{"id": "k",\n "name": "ask", "arguments": {"text": "x", "turn": 0}}]}'
+    lines = spark.createDataFrame([(4, 0, "assistant", broken), (4, 1, "tool", '{\n"tool_call_id": "k", "content": 1}')], turns.schema)
+    assert [(r["call_id"], r["status"]) for r in tool_calls.link_conversations(lines).collect()] == [("k", "linked")]
     plain = spark.createDataFrame([(9, 0, "user", "hi"), (9, 1, "assistant", "yes"), (9, 2, "user", "and")], turns.schema)
     linked = {r["call_id"]: r for r in tool_calls.link_conversations(plain).collect()}
     assert linked["9:0"]["status"] == "linked" and linked["9:2"]["level"] == 1 and all(r["valid"] for r in linked.values())
@@ -450,15 +596,23 @@ def test_tool_levels(spark):
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
-    plain = [(r[0], r[1], r[2], r[3], r[4]) for r in rows if r[0] is not None]
-    spark.createDataFrame(plain, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    base = rows[5][1].split()
+    plain = [(*r[:5], "clash") for r in rows] + [(7, "another text under an id that repeats", "en", None, 1, None), (300, " ".join(base[:3] + ["changed"] + base[4:]), "en", "s", 2, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, h string"
+    spark.createDataFrame(plain, names).write.parquet(f"{tmp_path}/documents.parquet")
     items = [(1, ITEM), (10, ITEM2)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    left = {i: t for i, t, *_ in plain if t and re.search(r"[^\W\d_]", t)}
-    ids = sorted(left)
-    classes = brute_classes([brute_fingerprint(left[i]) for i in ids], ids)
-    left = {i: left[i] for i, c in zip(ids, classes, strict=True) if i == c}
-    left = {i: t for i, t in left.items() if not brute_contamination(t, items)[2] and not brute_spans(t)[4]}
+    left = [(i, t) for i, t, *_ in plain if t and re.search(r"[^\W\d_]", t)]
+    root = brute_near_classes([t for _, t in left])
+    first = {}
+    for k, (i, t) in enumerate(left):
+        first[root[k]] = min(first.get(root[k], (True, 0, "")), (i is None, i or 0, t))
+    left = [(None if none else i, t) for none, i, t in first.values()]
+    left = [(i, t) for i, t in left if not brute_contamination(t, items)[2] and not brute_spans(t)[4]]
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
-    assert {r["doc_id"]: r["ids"] for r in found} == {i: sp.encode(t) for i, t in left.items()} and len(found) == len(left)
+    same([(r["doc_id"], r["ids"]) for r in found], [(i, sp.encode(t)) for i, t in left])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
