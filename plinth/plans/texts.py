@@ -61,7 +61,7 @@ def tfidf_space(spark, sf):
     return V.truncated_svd(V.tfidf(words), 8)
 
 
-@query(r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '\([^)]*\)', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM (SELECT item_id, replace(lower(text), split_part(lower(text), ' ', 1), '~') AS text FROM benchmark)")
+@query(r"SELECT item_id, trim(regexp_replace(replace(regexp_replace(lower(text), '\([^)]*\)', ' ', 'g'), split_part(lower(text), ' ', 1), '~'), '\s+', ' ', 'g')) AS normalized FROM benchmark")
 def rules_text(spark, sf):
     b = M.table(spark, sf, "benchmark")
     return b.select("item_id", X.rules_text(F.col("text"), F.substring_index("text", " ", 1)).alias("normalized"))

@@ -135,6 +135,30 @@ def test_enrichment_by_hand(spark):
     assert got[0, "B"].p == pytest.approx(tail(6, 10, 6, 8)) and got[1, "C"].resolution == pytest.approx(2 / 6)
 
 
+    assert set((r.topic, r.tag) for r in enrich.enrichment(m, t, 3).collect()) == {(0, "A"), (0, "B"), (1, "B")}
+    tested = enrich.enrichment(m, t, 1)
+    assert enrich.enriched(tested, 0, 1).count() == 4
+    # p: 1/14 for A, 2/15 for (0, B), 1 for (1, B), 1/3 for C
+    assert {(r.topic, r.tag): round(r.q, 6) for r in enrich.enriched(tested, 1.2, 0.3).collect()} == {(0, "A"): 0.266667, (0, "B"): 0.266667}
+    one = enrich.granularity(enrich.enriched(tested, 1.2, 0.3), m, t).first()
+    assert (one.n_labels, one.covered, one.resolved_5, one.median_labels) == (3, 2, 2, 1.0)
+
+
+def test_purity_null(spark):
+    m = spark.createDataFrame([(k, k % 3, 1.0) for k in range(200)], "item int, topic int, weight double")
+    c = spark.createDataFrame([(k, 1 if k < 60 else 2) for k in range(180)], "item int, mask int")
+    got = [r.purity for r in enrich.purity_null(m, c, top=10, draws=400).orderBy("draw").collect()]
+    assert len(got) == 400 and all(0.3 < p <= 1 and round(10 * p, 9) == int(round(10 * p)) for p in got)
+    assert 0.58 < sum(got) / 400 < 0.68  # 0.63 by the hypergeometric distribution of 60, 120 and 20
+    assert [r.purity for r in enrich.purity_null(m, c, top=500, draws=2).collect()] == [0.6, 0.6]
+    assert enrich.purity_null(m.limit(0), c).count() == 0
+
+
+def test_log_factorials(spark):
+    got = {r.n: r.lf for r in enrich.log_factorials(spark, 30, block=7).collect()}
+    assert all(got[n] == pytest.approx(math.lgamma(n + 1)) for n in range(31))
+
+
 def test_step_up(spark):
     t = spark.createDataFrame([(k, p) for k, p in enumerate((0.01, 0.04, 0.03, 0.5))], "k int, p double")
     assert [round(r.q, 6) for r in enrich.step_up(t, "p", ["k"]).orderBy("k").collect()] == [0.04, 0.053333, 0.053333, 0.5]
