@@ -33,8 +33,9 @@ def backfill(rows: DataFrame, values: DataFrame, key: list[str], column: str) ->
 
 
 def stratified_cap(rows: DataFrame, stratum: str, key: str, most: int, seed: int = 0) -> DataFrame:
-    """At most `most` rows a stratum, by a seeded hash of the key: the same rows every time."""
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    """At most `most` rows a stratum, by the MD5 of the key and a seed: the same rows every time and everywhere."""
+    mixed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    rank = F.row_number().over(W.partitionBy(stratum).orderBy(mixed, key))
     return rows.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
 
 

@@ -87,7 +87,7 @@ def category_precedence(spark, sf):
     return merge.first_per_key(e, ["user_id"], [place, F.col("event_id")])
 
 
-@query()
+@query(select("SELECT basket, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(basket || ':0'), basket) AS rk FROM holders) WHERE rk <= 25", "holders"))
 def stratified_cap(spark, sf):
     """A sampling operator: at most 25 baskets a stratum, by a seeded hash."""
     return merge.stratified_cap(M.holders(spark, sf).select("basket", "stratum"), "stratum", "basket", 25)
