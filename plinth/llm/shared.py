@@ -3,35 +3,18 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow table (ids, counts, thresholds: under 64 bytes a row) that may be broadcast.
-BROADCAST_ROWS = 400_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one is made once."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_plinth_scratch", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="plinth-")
-        spark._plinth_scratch = path
-    return path.rstrip("/")
+from plinth.sources.scratch import materialize, scratch_path
 
+__all__ = ["materialize", "scratch_path", "ship", "small_side", "table", "text_hash", "unused", "without_rows"]
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/plinth/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of a narrow table (ids, counts, thresholds: under 64 bytes a row) that may be broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
