@@ -7,7 +7,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from plinth.functions.ranks import ranked
 
 #: Latin letters with one accent and the plain ones, for places where no Python may run.
 _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -178,15 +179,10 @@ def stem(word: Column) -> Column:
 
 
 def token_counts(docs: DataFrame, text: str = "text", stopwords: list[str] = ()) -> DataFrame:
-    """(word, n, rank): counts of all words but the stop words, with ties by word. Ranks are given over the vocabulary,
-    by ranges of the count, so no task holds all of it."""
+    """(word, n, rank): counts of all words but the stop words, with ties by word."""
     words = docs.select(F.explode(tokens(F.col(text))).alias("word"))
     words = words.filter(~F.col("word").isin(*stopwords)) if stopwords else words
-    n = words.groupBy("word").agg(F.count("*").alias("n"))
-    per = n.groupBy("n").agg(F.count("*").alias("c"))
-    shift = per.withColumn("above", F.sum("c").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1))).select("n", F.coalesce("above", F.lit(0)).alias("above"))
-    own = F.row_number().over(W.partitionBy("n").orderBy("word"))
-    return n.withColumn("own", own).join(F.broadcast(shift), "n").select("word", "n", (F.col("own") + F.col("above")).alias("rank"))
+    return ranked(words.groupBy("word").agg(F.count("*").alias("n")), F.desc("n"), F.col("word")).select("word", "n", "rank")
 
 
 def doc_freq(docs: DataFrame, text: str = "text", least: int = 40, longer: int = 2, stopwords: list[str] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plinth.functions import text as X
+from plinth.functions.ranks import ranked
 from plinth.operators import classify as C
 from plinth.operators import merge, profile
 from plinth.operators import vectors as V
@@ -305,11 +306,6 @@ def role_breakdown(spark, sf):
 
 @query(select("SELECT row_number() OVER (ORDER BY n DESC, item) AS rank, item, n, median(n) OVER () AS mid FROM (SELECT item, count(*) AS n FROM baskets GROUP BY 1)", "baskets"))
 def popularity_curve(spark, sf):
-    from pyspark.sql.window import Window as W
-
     n = M.baskets(spark, sf).groupBy("item").agg(F.count("*").alias("n"))
-    per = n.groupBy("n").agg(F.count("*").alias("c"))
-    above = per.withColumn("above", F.sum("c").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1))).select("n", F.coalesce("above", F.lit(0)).alias("above"))
-    own = F.row_number().over(W.partitionBy("n").orderBy("item"))
-    out = n.withColumn("own", own).join(F.broadcast(above), "n").crossJoin(F.broadcast(n.agg(F.median("n").alias("mid"))))
-    return out.select((F.col("own") + F.col("above")).alias("rank"), "item", "n", "mid")
+    out = ranked(n, F.desc("n"), F.col("item"))
+    return out.crossJoin(F.broadcast(out.agg(F.median("n").alias("mid")))).select("rank", "item", "n", "mid")
