@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from plinth.functions.ranks import quantiles
+
 
 def null_profile(df: DataFrame) -> DataFrame:
     """(field, n_null, filled_pct) of every column, in one pass."""
@@ -49,7 +51,7 @@ def cross_counts(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
 
 def quintile_means(df: DataFrame, by: str, value: str) -> DataFrame:
     """(bin, n, mean): means of a value in five bins between exact quintiles of another, bins closed above."""
-    edges = df.agg(F.percentile(by, [0.2, 0.4, 0.6, 0.8]).alias("e"))
+    edges = quantiles(df, by, [0.2, 0.4, 0.6, 0.8]).withColumnRenamed("q", "e")
     rows = df.crossJoin(F.broadcast(edges)).select(F.size(F.filter("e", lambda e: e < F.col(by))).alias("bin"), F.col(value).alias("v"))
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from plinth.functions.ranks import at_positions
+
 #: A difference of at most SAME is the template itself; FAR items from the basket's size it is no match.
 SAME, FAR = 10, 20
 CENTRE, SPREAD = 20, 10.0
@@ -92,10 +94,8 @@ def histogram(values: DataFrame, value: str, edges: int = 10) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, value: str, quantiles: tuple[float, ...]) -> DataFrame:
-    """(q, value): the value at position min(n - 1, int(q n)). Distinct values are counted first; their running counts
-    are of the distinct values only."""
-    n = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    run = n.select("value", upto.alias("upto"), F.sum("n").over(W.partitionBy()).alias("all_n"))
-    asked = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
-    return run.select("*", asked).filter(F.col("upto") > F.least(F.col("all_n") - 1, F.floor(F.col("q") * F.col("all_n")))).groupBy("q").agg(F.min("value").alias("value"))
+    """(q, value): the value at position min(n - 1, int(q n)) in ascending order; none of an empty table."""
+    names = {f"at{k}": F.least(F.col("n") - 1, F.floor(F.lit(float(q)) * F.col("n"))) for k, q in enumerate(quantiles)}
+    found = at_positions(values, value, names)
+    pairs = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(n).alias("value")) for q, n in zip(quantiles, names, strict=True)])
+    return found.select(F.inline(pairs)).filter(F.col("value").isNotNull())

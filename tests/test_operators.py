@@ -202,6 +202,21 @@ def test_names(spark):
     assert one(spark, lambda v: X.resplit(F.split(v, ", "), ["Orcrist, Goblin-cleaver"]), "Ring, Orcrist, Goblin-cleaver") == ["Ring", "Orcrist, Goblin-cleaver"]
 
 
+def test_ranks_and_quantiles(spark):
+    import random
+
+    from plinth.functions import ranks
+
+    rng = random.Random(1)
+    values = [(rng.choice([1, 1, 1, 2, 3]), f"w{k}") for k in range(500)]
+    got = ranks.ranked(spark.createDataFrame(values, "n int, w string"), F.desc("n"), F.col("w"), pieces=7)
+    assert [(r.n, r.w) for r in got.orderBy("rank").collect()] == sorted(values, key=lambda x: (-x[0], x[1])) and got.agg(F.max("rank")).first()[0] == 500
+    numbers = [rng.random() for _ in range(301)] + [None]
+    q = ranks.quantiles(spark.createDataFrame([(x,) for x in numbers], "v double"), "v", [0.0, 0.2, 0.33, 1.0]).first().q
+    assert np.allclose(q, np.quantile([x for x in numbers if x is not None], [0.0, 0.2, 0.33, 1.0]))
+    assert ranks.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).first().q == [None]
+
+
 def test_tokens_and_repeats(spark):
     assert one(spark, X.tokens, "Don't stop, it’s 5 o") == ["don't", "stop", "it’s", "o"]
     assert one(spark, X.tokens, None) == []
