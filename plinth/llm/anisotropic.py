@@ -6,18 +6,20 @@ dimensions with 16 codewords (four bits each). Codes and codewords minimise a lo
 parallel to the vector ETA times as much as the rest, as that part is what changes large products.
 
 1. Rows of equal vectors become one class with its K + 1 smallest ids; the index holds every class.
-2. Centroids and codebooks are fitted on at most SAMPLE classes (those with the smallest hash).
+2. There is a cell for CELL classes. Centroids and codebooks are fitted on PER_CELL classes a cell (at least SAMPLE),
+   those with the smallest hash. The driver takes SAMPLE_BYTES of them at most; beyond that, cells hold more classes.
 3. Each class is put in its nearest cell; a cell of more than BLOCK classes is cut into blocks. Queries (classes
    again) go to every block of their nearest cells, in parts of QUERIES; how many cells is measured, so that COVER of
-   the neighbours that TRIALS sampled vectors have in the sample lie there. A task scans the codes of one block by
-   tables of 16 entries a subspace, keeps RERANK of them, and all that come as close to the K-th as the block's
-   quantisation error (so groups of near copies are kept whole), and ranks those by exact double-precision distance.
-4. The nearest classes of each query are merged, and ids are filled in.
+   the neighbours that TRIALS sampled vectors have in the sample lie there.
+4. A task scans the codes of one block (no vectors are moved) by tables of 16 entries a subspace. For each query it
+   keeps RERANK of them, and all that come as close to the K-th as the block's quantisation error (so groups of near
+   copies are kept whole); what all blocks keep is cut by the same rule once more.
+5. Vectors are joined to those only, and ranked by exact double-precision distance; ids are filled in.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another dimension than
 the commonest (the larger on a tie), nor rows without id. Rows that repeat an id and vector count once; a query's own
 id is never its neighbour. Fewer candidates than K give all of them; an empty table gives none. Further columns are
-ignored.
+ignored. No text is read, and ties in distance go to the smaller id.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from pyspark.sql.window import Window as W
 from plinth.llm.shared import materialize, ship
 
 K = 10
-SAMPLE = 10_000
-CELL, CELLS, COVER, TRIALS = 2_500, 4096, 0.97, 200
+SAMPLE, PER_CELL, SAMPLE_BYTES = 10_000, 64, 96 << 20
+CELL, COVER, TRIALS = 2_500, 0.97, 200
 BLOCK, QUERIES, RERANK = 8192, 1024, 120
 WORDS = 16
 #: Share of a vector's length below which a query's product doesn't matter (T); gives the weight of parallel error.
@@ -92,10 +94,17 @@ def _codes(r: np.ndarray, u: np.ndarray, books: np.ndarray, eta: float, rounds:
     return codes.astype(np.uint8)
 
 
-def fit(x: np.ndarray, count: int, seed: int = 7) -> Quantiser:
+def sizes(count: int, dimension: int, cell: int = CELL) -> tuple[int, int]:
+    """(cells, sampled classes) of an index of so many classes."""
+    most = max(PER_CELL, SAMPLE_BYTES // (4 * dimension))
+    cells = max(1, min(math.ceil(count / cell), most // PER_CELL))
+    return cells, min(most, max(SAMPLE, PER_CELL * cells))
+
+
+def fit(x: np.ndarray, cells: int, seed: int = 7) -> Quantiser:
     """Cells by Lloyd's algorithm, codebooks by alternating codes and weighted least squares."""
     rng = np.random.default_rng(seed)
-    c = int(min(max(1, math.ceil(count / CELL)), CELLS, len(x)))
+    c = min(cells, len(x))
     cells = x[rng.choice(len(x), c, replace=False)].copy()
     for _ in range(8):
         cell = ((cells**2).sum(1) - 2 * x @ cells.T).argmin(1)
@@ -148,7 +157,7 @@ def vector_classes(table: DataFrame, k: int = K) -> DataFrame:
     return few.groupBy("h", "vec").agg(ids.alias("ids")).select(F.element_at("ids", 1).alias("cid"), "vec", "ids", "h")
 
 
-def neighbours(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def neighbours(table: DataFrame, queries: DataFrame, k: int = K, cell: int = CELL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of table's rows found for each of the queries (vec_id, embedding)."""
     spark = table.sparkSession
     ship(spark)
@@ -160,8 +169,9 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     n, n_asked = classes.count(), asked.count()
     if not n or not n_asked:
         return spark.createDataFrame([], schema)
-    sample = classes.orderBy("h", "cid").limit(SAMPLE).select("vec").toPandas()["vec"]
-    made = fit(_even(np.stack(sample.to_numpy()).astype(np.float64)), n)
+    wanted, many = sizes(n, len(classes.first()["vec"]), cell)
+    sample = classes.orderBy("h", "cid").limit(many).select("vec").toPandas()["vec"]
+    made = fit(_even(np.stack(sample.to_numpy()).astype(np.float64)), wanted)
     shared = spark.sparkContext.broadcast(made)
     cells = len(made.cells)
     probes = min(made.probes, cells)
@@ -173,7 +183,9 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             cell = q.nearest_cells(x, 1)[:, 0]
             codes = q.encode(x, cell)
             packed = codes[:, 0::2] | np.pad(codes[:, 1::2], ((0, 0), (0, codes.shape[1] % 2))) << 4
-            yield pd.DataFrame({"cid": b["cid"], "vec": b["vec"], "ids": b["ids"], "cell": cell, "codes": [c.tobytes() for c in packed]})
+            error = x - q.cells[cell] - q.books[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
+            each = {"half": (x**2).sum(1) / 2, "error": (error**2).mean(1), "codes": [c.tobytes() for c in packed]}
+            yield pd.DataFrame({"cid": b["cid"], "cell": cell, **each})
 
     def route(batches):
         for b in batches:
@@ -181,48 +193,58 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             for j in range(probes):
                 yield pd.DataFrame({"qid": b["qid"], "vec": b["vec"], "cell": near[:, j]})
 
-    built = materialize(classes.mapInPandas(index, "cid long, vec array<float>, ids array<long>, cell int, codes binary"), "ann-index")
+    built = materialize(classes.select("cid", "vec").mapInPandas(index, "cid long, cell int, half double, error double, codes binary"), "ann-index")
     routed = materialize(asked.mapInPandas(route, "qid long, vec array<float>, cell int"), "ann-routed")
     load = built.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     load = load.join(routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "cell")
-    load = F.broadcast(materialize(load, "ann-load"))  # a row for each cell: CELLS at most
+    load = F.broadcast(materialize(load, "ann-load"))  # a row for each cell, which SAMPLE_BYTES bounds
     left = built.join(load, "cell").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts")
     right = routed.join(load, "cell").withColumn("part", F.pmod(F.xxhash64("qid"), "parts").cast("int"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "parts")
 
     def search(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": [], "cid": [], "score": [], "ids": []})
+        empty = pd.DataFrame({"qid": [], "cid": [], "rough": [], "slack": [], "first": []})
         if x.empty or q.empty:
             return empty
         model = shared.value
-        raw = np.stack(x["vec"].to_numpy()).astype(np.float64)
-        even = _even(raw)
         m = len(model.books)
         packed = np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(len(x), -1)
         codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(x), -1)[:, :m]
         flat = codes.astype(np.int64) + np.arange(m) * WORDS
-        half = (even**2).sum(1) / 2
-        centre = model.cells[int(x["cell"].iloc[0])]
-        error = even - centre - model.books[np.arange(m), codes].reshape(len(x), -1)
-        spread = 2 * np.sqrt((error**2).sum(1).mean() / error.shape[1])
-        cids, ids = x["cid"].to_numpy(np.int64), x["ids"].to_numpy()
+        half, centre = x["half"].to_numpy(), model.cells[int(x["cell"].iloc[0])]
+        spread = 2 * np.sqrt(x["error"].mean())
+        cids = x["cid"].to_numpy(np.int64)
         out = []
         for qid, vec in zip(q["qid"], q["vec"], strict=True):
-            v = np.asarray(vec, np.float64)
-            w = _even(v[None])[0]
-            rough = model.tables(w).reshape(-1)[flat].sum(1) + w @ centre - half
-            best = np.arange(len(rough))
+            w = _even(np.asarray(vec, np.float64)[None])[0]
+            rough = half - model.tables(w).reshape(-1)[flat].sum(1) - w @ centre
+            slack = spread * np.linalg.norm(w)
+            best, first = np.arange(len(rough)), np.ones(len(rough), bool)
             if len(rough) > RERANK:
-                order = np.partition(-rough, (k, RERANK - 1))
-                best = np.flatnonzero(-rough <= max(order[RERANK - 1], order[k] + spread * np.linalg.norm(w)))
-            score = np.sqrt(((raw[best] - v) ** 2).sum(1))
-            top = best[np.lexsort((cids[best], score))[: k + 1]]
-            out.append(pd.DataFrame({"qid": qid, "cid": cids[top], "score": np.sqrt(((raw[top] - v) ** 2).sum(1)), "ids": ids[top]}))
+                order = np.partition(rough, (k, RERANK - 1))
+                best = np.flatnonzero(rough <= max(order[RERANK - 1], order[k] + slack))
+                first = rough[best] <= order[RERANK - 1]
+            out.append(pd.DataFrame({"qid": qid, "cid": cids[best], "rough": rough[best], "slack": slack, "first": first}))
         return pd.concat(out) if out else empty
 
     group = ["cell", "block", "part"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, "qid long, cid long, score double, ids array<long>")
+    scanned = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, "qid long, cid long, rough double, slack double, first boolean")
+    scanned = materialize(scanned, "ann-scanned")
+    # what all blocks of a query keep is cut as in a block; only the first RERANK of each block are ranked for it
+    place = F.row_number().over(W.partitionBy("qid").orderBy("rough", "cid"))
+    firsts = scanned.filter("first").select("qid", "cid", "rough").withColumn("n", place).filter(F.col("n") <= RERANK)
+    bounds = firsts.groupBy("qid").agg(F.max("rough").alias("most"), F.max(F.when(F.col("n") <= k + 1, F.col("rough"))).alias("kth"))
+    kept = scanned.join(bounds, "qid").filter(F.col("rough") <= F.greatest("most", F.col("kth") + F.col("slack"))).select("qid", "cid")
+    kept = kept.join(asked.select("qid", F.col("vec").alias("asked")), "qid").join(classes.select("cid", "vec", "ids"), "cid")
+
+    def measure(batches):
+        for b in batches:
+            if len(b):
+                x, v = (np.stack(b[c].to_numpy()).astype(np.float64) for c in ("vec", "asked"))
+                yield pd.DataFrame({"qid": b["qid"], "cid": b["cid"], "score": np.sqrt(((x - v) ** 2).sum(1)), "ids": b["ids"]})
+
+    found = kept.select("qid", "cid", "vec", "asked", "ids").mapInPandas(measure, "qid long, cid long, score double, ids array<long>")
     near = F.row_number().over(W.partitionBy("qid").orderBy("score", "cid"))
     best = found.withColumn("n", near).filter(F.col("n") <= k + 1).select("qid", "score", F.explode("ids").alias("vec_id"))
     pairs = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1)
@@ -236,6 +258,6 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "p.vec_id", "p.score")
 
 
-def search_embeddings(table: DataFrame, k: int = K) -> DataFrame:
+def search_embeddings(table: DataFrame, k: int = K, cell: int = CELL) -> DataFrame:
     table = table.select("vec_id", "embedding")
-    return neighbours(table, table.filter(F.col("vec_id") % 100 == 0), k)
+    return neighbours(table, table.filter(F.col("vec_id") % 100 == 0), k, cell)

@@ -88,10 +88,11 @@ class Codec:
         return b"" if token in self.control else " ⁇ ".encode() if token == self.unknown else self.shown[token].encode()
 
     def forget(self) -> None:
-        """Drop all that was remembered of texts."""
+        """Drop all that was remembered of texts, and give memory back."""
         self.segments.clear()
         self.pairs.clear()
         self.traces.clear()
+        pa.default_memory_pool().release_unused()
 
     def _cuts(self) -> str:
         """Segments: spaces, then marks, then other characters; before a mark there's a cut, but for the few characters

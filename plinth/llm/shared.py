@@ -15,6 +15,9 @@ __all__ = ["materialize", "scratch_path", "ship", "small_side", "table", "text_h
 
 #: Rows of a narrow table (ids, counts, thresholds: under 64 bytes a row) that may be broadcast.
 BROADCAST_ROWS = 400_000
+#: Bytes of an Arrow batch, and Spark's setting for it with its default; another value is left as it is.
+BATCH_BYTES = 8 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864"
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,7 +51,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session (nothing is installed there)."""
+    """Make ready for Python workers: send them this package, once a session (nothing is installed there), and where
+    Spark's own bound of an Arrow batch holds, lower it, as texts are held several times over while they are worked on."""
+    if spark.conf.get(_BATCH).rstrip("b") == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_plinth_shipped", False):
         return

@@ -8,6 +8,7 @@ Fitting reads a bounded sample: the SAMPLE labelled rows, outside the held-out f
 executors hash their texts, and the driver sees feature numbers only, all of each text. Where these go beyond TOTAL,
 fewer rows are learned from, in the same order, each still whole.
 
+* Very long texts are hashed in steps of STEP words, without losing pairs between steps.
 * Null and empty texts, and those without words, have no features: their score is that of the intercept.
 * Rows without doc_id or label, and labels without a text, aren't learned from; of labels that repeat a doc_id, the
   larger counts. With no labelled rows the score is 0.5. Repeated rows repeat; an empty table gives an empty result;

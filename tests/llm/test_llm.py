@@ -474,6 +474,61 @@ def test_toxicity(spark, none):
     assert toxicity.score_documents(none, known).count() == 0
 
 
+def brute_ftrl(rows, labels, epochs):
+    """McMahan's per-coordinate FTRL-proximal, one coordinate at a time."""
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if i != "bias" and abs(z[i]) <= l1:
+            return 0.0
+        shrunk = z[i] - (math.copysign(l1, z[i]) if i != "bias" else 0)
+        return -shrunk / ((beta + math.sqrt(n[i])) / alpha + (l2 if i != "bias" else 0))
+
+    for _ in range(epochs):
+        for x, y in zip(rows, labels, strict=True):
+            w = {i: weight(i) for i in [*x, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: w for i in z if i != "bias" and (w := weight(i))}, weight("bias")
+
+
+def test_ftrl_equals_its_definition():
+    rng = random.Random(1)
+    rows = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 20))), "<i4") for _ in range(400)]
+    labels = np.array([float((3 in x) or (7 in x and 9 in x)) for x in rows])
+    made = toxicity.ftrl(rows, labels, 3)
+    weights, bias = brute_ftrl([x.tolist() for x in rows], labels.tolist(), 3)
+    assert 0 < len(weights) < 60 and made.at.tolist() == sorted(weights)
+    assert np.allclose(made.weight, [weights[i] for i in sorted(weights)], rtol=1e-5) and abs(made.intercept - bias) < 1e-9
+
+
+def test_toxicity_of_very_long_texts_and_clashing_columns(spark, monkeypatch):
+    whole = np.unique(np.concatenate(list(toxicity.hashed("a bad b Word " * 3000 + "end"))))
+    monkeypatch.setattr(toxicity, "STEP", 7)
+    assert np.array_equal(whole, np.unique(np.concatenate(list(toxicity.hashed("a bad b Word " * 3000 + "end")))))
+    rows = [(k, "bad thing " * (k % 2) + "plain words " * (1 + 20_000 * (k < 4)), "x", 1.0, 2) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, order string, score double, toxic int")
+    known = spark.createDataFrame([(k, k % 2, "clash") for k in range(60)], "doc_id long, toxic int, text string")
+    found = toxicity.score_documents(docs, known).collect()
+    assert len(found) == 60 and all(r["predicted"] == r["doc_id"] % 2 for r in found)
+
+
+def test_language_of_very_long_texts_and_clashing_columns(spark, monkeypatch):
+    rows = [(k, ("der die das und " if k % 2 else "the of and with ") * (1 + 20_000 * (k < 4)), "de" if k % 2 else "en", 1, 2.0, "x") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, h int, score double, lang_pred string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_documents(docs).collect()}
+    assert found == {k: "de" if k % 2 else "en" for k in range(40)}
+    assert language_id.keep_identified(docs).columns == docs.columns
+    model = language_id.freeze(pandas.DataFrame([("en", g, n) for g, n in brute_grams("the of and").items()], columns=["lang", "gram", "n"]))
+    whole = model.code_lengths("the and of é" * 50)
+    monkeypatch.setattr(language_id, "STEP", 11)
+    assert np.allclose(model.code_lengths("the and of é" * 50), whole)
+
+
 def test_toxicity_learns_all_of_long_texts(spark):
     rng = random.Random(9)
     coordinate = lambda w: next(toxicity.hashed(w))[0]
@@ -541,6 +596,33 @@ def test_anisotropic(spark):
     assert anisotropic.search_embeddings(few.limit(0)).count() == 0
 
 
+def test_anisotropic_recall_over_many_cells(spark):
+    """Clusters that overlap, about thirty cells: the search has to leave a query's own cell, but not to read all."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(25, 24))
+    v = (centres[rng.integers(0, 25, 6000)] + 0.8 * rng.normal(size=(6000, 24))).astype(np.float32)
+    table = spark.createDataFrame([(k, [float(x) for x in r], "extra") for k, r in enumerate(v)], "vec_id long, embedding array<float>, cell string")
+    cells, sampled = anisotropic.sizes(6000, 24, 200)
+    made = anisotropic.fit(v.astype(np.float64), cells)
+    assert cells == 30 == len(made.cells) and made.probes < 30
+    found = anisotropic.search_embeddings(table, cell=200).collect()
+    d, hits = v.astype(float), 0
+    for q in range(0, 6000, 100):
+        far = np.sqrt(((d - d[q]) ** 2).sum(1))
+        want = [int(j) for j in np.lexsort((np.arange(6000), far)) if j != q][:10]
+        got = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == list(range(1, 11)) and all(abs(r["score"] - far[r["vec_id"]]) < 1e-9 for r in got)
+        hits += len({r["vec_id"] for r in got} & set(want))
+    assert hits >= 0.9 * 600
+
+
+def test_anisotropic_sample_follows_the_cells():
+    assert anisotropic.sizes(1000, 64) == (1, 10_000)
+    assert anisotropic.sizes(10**6, 64) == (400, 25_600)
+    cells, sampled = anisotropic.sizes(10**10, 768)
+    assert sampled * 768 * 4 <= anisotropic.SAMPLE_BYTES and cells == sampled // anisotropic.PER_CELL
+
+
 def far_of(d, j):
     return ((d[0] - d[j]) ** 2).sum()
 
@@ -569,6 +651,8 @@ def test_tool_calls(spark):
     broken = '{\n "tool_calls": [{"id": "k",\n "name": "ask", "arguments": {"text": "x", "turn": 0}}]}'
     lines = spark.createDataFrame([(4, 0, "assistant", broken), (4, 1, "tool", '{\n"tool_call_id": "k", "content": 1}')], turns.schema)
     assert [(r["call_id"], r["status"]) for r in tool_calls.link_conversations(lines).collect()] == [("k", "linked")]
+    clash = spark.createDataFrame([(5, 0, "assistant", call("k", "ask", '{"text":"' + "long " * 50_000 + '","turn":1}'), "x", 7)], "conv_id long, turn long, role string, text string, call_id string, level int")
+    assert [(r["call_id"], r["level"], r["valid"]) for r in tool_calls.link(clash, tool_calls.ASK).collect()] == [("k", 0, True)]
     plain = spark.createDataFrame([(9, 0, "user", "hi"), (9, 1, "assistant", "yes"), (9, 2, "user", "and")], turns.schema)
     linked = {r["call_id"]: r for r in tool_calls.link_conversations(plain).collect()}
     assert linked["9:0"]["status"] == "linked" and linked["9:2"]["level"] == 1 and all(r["valid"] for r in linked.values())
