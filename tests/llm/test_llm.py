@@ -677,6 +677,27 @@ def test_tool_levels(spark):
     assert sorted(got, key=str) == sorted([(conv, c, n) for conv in (None, 5) for c, n in level.items()], key=str)
 
 
+@pytest.mark.parametrize("name", ["op1_warc", "op4_decontaminate"])
+def test_query_equals_its_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from plinth.llm import queries
+
+    sf = os.environ.get("PLINTH_SF", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    found = queries.QUERIES[name](spark, sf)
+    assert sorted(found.columns) == sorted(columns)
+    same(found.select(*columns).collect(), want.fetchall())
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
