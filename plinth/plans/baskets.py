@@ -24,8 +24,8 @@ def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     """Indexed entries, weighted near-uniformly by stratum."""
-    b = M.baskets(spark, sf)
-    h = M.holders(spark, sf)
+    b = materialize(M.baskets(spark, sf), "baskets")
+    h = M.holders(spark, sf, b)
     w = h.join(F.broadcast(A.near_uniform(h)), "stratum").select("basket", F.col("weight").alias("w"))
     return A.entries(b, A.item_index(b), w)
 

@@ -30,12 +30,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(basket, stratum, mask) of baskets that hold anything."""
+def holders(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """(basket, stratum, mask) of baskets that hold anything; `held`: the baskets, if they are at hand."""
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("basket"), F.col("c_nationkey").alias("stratum"), ((F.col("c_custkey") * 7) % 32).cast("int").alias("mask")
     )
-    return c.join(baskets(spark, sf_dir).select("basket").distinct(), "basket", "left_semi")
+    held = baskets(spark, sf_dir) if held is None else held
+    return c.join(held.select("basket").distinct(), "basket", "left_semi")
 
 
 def true_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,25 @@ def test_communities_find_two_cliques(spark):
     assert len({r.community for r in got if r.item < 10}) == 1 and len({r.community for r in got}) == 2
 
 
+def test_pairs_of_large_baskets(spark):
+    import random
+
+    from plinth.operators import association
+
+    rng = random.Random(2)
+    held = [(b, i) for b, n in ((1, 90), (2, 40), (3, 5), (4, 1)) for i in rng.sample(range(100), n)]
+    table = spark.createDataFrame([(b, i, 0.5 + b, 1.0 + i) for b, i in held], "basket int, item int, w double, u double")
+    want = {}
+    for b, i in held:
+        for c, j in held:
+            if b == c and i < j:
+                n, s = want.get((i, j), (0, 0.0))
+                want[i, j] = (n + 1, s + (0.5 + b) * (1.0 + i) * (1.0 + j))
+    for part in (7, 2048):
+        got = {(r.i, r.j): (r.raw, r.joint) for r in association.pair_counts(table, 1, part=part).collect()}
+        assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
 def test_enrichment_by_hand(spark):
     m = spark.createDataFrame([(f"c{k}", 0) for k in range(1, 7)] + [(f"c{k}", 1) for k in range(5, 11)], "item string, topic int")
     labels = {"A": range(1, 5), "B": range(1, 9), "C": range(9, 11)}
