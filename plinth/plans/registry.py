@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from plinth.plans import baskets, catalogue, files, records, texts  # noqa: E402, F401
+from plinth.plans import baskets, catalogue, files, records, reports, texts  # noqa: E402, F401

@@ -396,3 +396,24 @@ def test_entry_has_sql_only_for_its_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_granularity_curve(spark):
+    from plinth.operators import reports
+
+    nodes = [factor.Node(0, None, 0, {k: (1.0, 1.0) for k in range(20)}), factor.Node(1, 0, 1, {k: (1.0, 1.0) for k in range(10)}), factor.Node(2, 0, 1, {k: (1.0, 1.0) for k in range(10, 20)})]
+    nodes[0].children = [1, 2]
+    labels = spark.createDataFrame([(k, "low" if k < 10 else "high") for k in range(20)] + [(k, "all") for k in range(20)], "item long, tag string")
+    got = {r.leaves: (r.n_topics, r.covered, r.resolved_30) for r in reports.granularity_curve(nodes, labels, [1, 2], lift=1.5, fdr=0.05).collect()}
+    assert got == {1: (1, 0, 0), 2: (2, 2, 2)}
+
+
+def test_spaces_and_empty_reports(spark):
+    from plinth.operators import reports
+
+    df = spark.createDataFrame([(1.0, 2.0, "x")], "text_a double, cost_b double, text_c string")
+    assert reports.space_columns(df, "text") == ["text_a"] and reports.space_columns(df, "all") == ["text_a", "cost_b"]
+    with pytest.raises(KeyError):
+        reports.space_columns(df, "none")
+    assert rows(reports.above_median(spark.createDataFrame([(1,), (2,), (9,), (None,)], "v int"), "v")) == [(1, 0), (2, 0), (9, 1), (None, None)]
+    assert reports.harvested(spark.createDataFrame([(1, "a", 2)], "template int, name string, qty int"), spark.createDataFrame([], "name string, item int")).collect() == [(1, None, None, 1)]
