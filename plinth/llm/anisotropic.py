@@ -12,8 +12,9 @@ parallel to the vector ETA times as much as the rest, as that part is what chang
    again) go to every block of their nearest cells, in parts of QUERIES; how many cells is measured, so that COVER of
    the neighbours that TRIALS sampled vectors have in the sample lie there.
 4. A task scans the codes of one block (no vectors are moved) by tables of 16 entries a subspace. For each query it
-   keeps RERANK of them, and all that come as close to the K-th as the block's quantisation error (so groups of near
-   copies are kept whole); what all blocks keep is cut by the same rule once more.
+   takes RERANK of them, and all that come as close to the K-th as the block's quantisation error. To these it adds what
+   the codes leave, kept in one byte a dimension, and gives KEPT of them, and all that come as close to the K-th as a
+   byte's error (so groups of near copies are kept whole). What all blocks give is cut by the same rule once more.
 5. Vectors are joined to those only, and ranked by exact double-precision distance; ids are filled in.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another dimension than
@@ -38,7 +39,7 @@ from plinth.llm.shared import materialize, ship
 K = 10
 SAMPLE, PER_CELL, SAMPLE_BYTES = 10_000, 64, 96 << 20
 CELL, COVER, TRIALS = 2_500, 0.97, 200
-BLOCK, QUERIES, RERANK = 8192, 1024, 120
+BLOCK, QUERIES, RERANK, KEPT = 8192, 1024, 120, 22
 WORDS = 16
 #: Share of a vector's length below which a query's product doesn't matter (T); gives the weight of parallel error.
 THRESHOLD = 0.2
@@ -184,7 +185,10 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K, cell: int = CEL
             codes = q.encode(x, cell)
             packed = codes[:, 0::2] | np.pad(codes[:, 1::2], ((0, 0), (0, codes.shape[1] % 2))) << 4
             error = x - q.cells[cell] - q.books[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
-            each = {"half": (x**2).sum(1) / 2, "error": (error**2).mean(1), "codes": [c.tobytes() for c in packed]}
+            step = np.maximum(np.abs(error).max(1), 1e-30) / 127
+            rest = np.rint(error / step[:, None]).astype(np.int8)
+            each = {"half": (x**2).sum(1) / 2, "error": (error**2).mean(1), "step": step}
+            each |= {"codes": [c.tobytes() for c in packed], "rest": [c.tobytes() for c in rest]}
             yield pd.DataFrame({"cid": b["cid"], "cell": cell, **each})
 
     def route(batches):
@@ -193,7 +197,7 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K, cell: int = CEL
             for j in range(probes):
                 yield pd.DataFrame({"qid": b["qid"], "vec": b["vec"], "cell": near[:, j]})
 
-    built = materialize(classes.select("cid", "vec").mapInPandas(index, "cid long, cell int, half double, error double, codes binary"), "ann-index")
+    built = materialize(classes.select("cid", "vec").mapInPandas(index, "cid long, cell int, half double, error double, step double, codes binary, rest binary"), "ann-index")
     routed = materialize(asked.mapInPandas(route, "qid long, vec array<float>, cell int"), "ann-routed")
     load = built.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     load = load.join(routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "cell")
@@ -212,28 +216,34 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = K, cell: int = CEL
         packed = np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(len(x), -1)
         codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(x), -1)[:, :m]
         flat = codes.astype(np.int64) + np.arange(m) * WORDS
-        half, centre = x["half"].to_numpy(), model.cells[int(x["cell"].iloc[0])]
-        spread = 2 * np.sqrt(x["error"].mean())
+        half, centre, step = x["half"].to_numpy(), model.cells[int(x["cell"].iloc[0])], x["step"].to_numpy()
+        rest = np.frombuffer(b"".join(x["rest"]), np.int8).reshape(len(x), -1)
+        spread, fine = 2 * np.sqrt(x["error"].mean()), step.max()
         cids = x["cid"].to_numpy(np.int64)
         out = []
         for qid, vec in zip(q["qid"], q["vec"], strict=True):
             w = _even(np.asarray(vec, np.float64)[None])[0]
             rough = half - model.tables(w).reshape(-1)[flat].sum(1) - w @ centre
-            slack = spread * np.linalg.norm(w)
-            best, first = np.arange(len(rough)), np.ones(len(rough), bool)
+            best = np.arange(len(rough))
             if len(rough) > RERANK:
                 order = np.partition(rough, (k, RERANK - 1))
-                best = np.flatnonzero(rough <= max(order[RERANK - 1], order[k] + slack))
-                first = rough[best] <= order[RERANK - 1]
-            out.append(pd.DataFrame({"qid": qid, "cid": cids[best], "rough": rough[best], "slack": slack, "first": first}))
+                best = np.flatnonzero(rough <= max(order[RERANK - 1], order[k] + spread * np.linalg.norm(w)))
+            # a byte is off by half a step at most, so two steps are about seven deviations of a product
+            rough, slack = rough[best] - step[best] * (rest[best] @ w), 2 * fine * np.linalg.norm(w)
+            first = np.ones(len(rough), bool)
+            if len(rough) > KEPT:
+                order = np.partition(rough, (k, KEPT - 1))
+                kept = rough <= max(order[KEPT - 1], order[k] + slack)
+                best, rough, first = best[kept], rough[kept], rough[kept] <= order[KEPT - 1]
+            out.append(pd.DataFrame({"qid": qid, "cid": cids[best], "rough": rough, "slack": slack, "first": first}))
         return pd.concat(out) if out else empty
 
     group = ["cell", "block", "part"]
     scanned = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, "qid long, cid long, rough double, slack double, first boolean")
     scanned = materialize(scanned, "ann-scanned")
-    # what all blocks of a query keep is cut as in a block; only the first RERANK of each block are ranked for it
+    # what all blocks of a query keep is cut as in a block; only the first KEPT of each block are ranked for it
     place = F.row_number().over(W.partitionBy("qid").orderBy("rough", "cid"))
-    firsts = scanned.filter("first").select("qid", "cid", "rough").withColumn("n", place).filter(F.col("n") <= RERANK)
+    firsts = scanned.filter("first").select("qid", "cid", "rough").withColumn("n", place).filter(F.col("n") <= KEPT)
     bounds = firsts.groupBy("qid").agg(F.max("rough").alias("most"), F.max(F.when(F.col("n") <= k + 1, F.col("rough"))).alias("kth"))
     kept = scanned.join(bounds, "qid").filter(F.col("rough") <= F.greatest("most", F.col("kth") + F.col("slack"))).select("qid", "cid")
     kept = kept.join(asked.select("qid", F.col("vec").alias("asked")), "qid").join(classes.select("cid", "vec", "ids"), "cid")
