@@ -417,3 +417,36 @@ def test_spaces_and_empty_reports(spark):
         reports.space_columns(df, "none")
     assert rows(reports.above_median(spark.createDataFrame([(1,), (2,), (9,), (None,)], "v int"), "v")) == [(1, 0), (2, 0), (9, 1), (None, None)]
     assert reports.harvested(spark.createDataFrame([(1, "a", 2)], "template int, name string, qty int"), spark.createDataFrame([], "name string, item int")).collect() == [(1, None, None, 1)]
+
+
+def by_hand(held, least):
+    """(scope, i, j): (raw, joint) of rows (scope, basket, item, w, u)."""
+    want = {}
+    for s, b, i, w, u in held:
+        for t, c, j, _, v in held:
+            if (s, b) == (t, c) and i < j:
+                n, x = want.get((s, i, j), (0, 0.0))
+                want[s, i, j] = (n + 1, x + w * u * v)
+    return {k: v for k, v in want.items() if v[0] >= least}
+
+
+@pytest.fixture(scope="module")
+def held(spark):
+    """Baskets of two scopes, with an item that is in all of them, weights and negative ids."""
+    import random
+
+    rng = random.Random(5)
+    one = lambda b, i: ("xy"[b % 2], f"b{b}", i * 1000 - 7000, 1.0 + b, 0.5 if i % 3 else 1.0)
+    return [one(b, i) for b in range(30) for i in [0, *rng.sample(range(1, 40), b)]]
+
+
+def test_pairs_are_counted_in_tasks_that_grow_in_number_not_in_size(spark, held):
+    table = spark.createDataFrame(held, "scope string, basket string, item long, w double, u double")
+    want = by_hand(held, 3)
+    for part in (50, 1 << 21):
+        made = A.pair_counts(table, 3, ("scope",), part)
+        got = {(r.scope, r.i, r.j): (r.raw, r.joint) for r in made.collect()}
+        assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+        assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()  # pairs don't leave the task that makes them
+        n = sum(b * (b + 1) // 2 for b in range(30))
+        assert n / part / 2 <= made.rdd.getNumPartitions() <= 33 + 2 * n / part
