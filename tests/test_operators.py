@@ -287,6 +287,25 @@ def test_factorisation_finds_planted_blocks_locally_and_spread(spark):
     assert factor.best_k([(2, 0.1, 0.90001), (3, 0.1, 0.90002), (4, 0.1, 0.8)]) == 3
 
 
+def test_nmf_equals_its_definition_and_its_rows_are_laid_out_by_executors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (rng.random((30, 12)) < 0.4) * 1.0
+    x[np.arange(12), np.arange(12)] = 1
+    rows_ = spark.createDataFrame([(int(b), 5 * int(i)) for b, i in zip(*np.nonzero(x), strict=True)], "basket int, item int")
+    h = np.random.default_rng(0).random((12, 2)) + 0.1
+    for _ in range(3):
+        w = np.ones((30, 2))
+        for _ in range(10):
+            w *= (x @ h) / (w @ (h.T @ h) + 1e-12)
+        h = h * (x.T @ w) / (h @ (w.T @ w) + 1e-12)
+    monkeypatch.setattr(factor, "PIECE", 64)
+    fit = factor.nmf(rows_, 2, rounds=3, tol=0)
+    assert list(fit.items) == [5 * i for i in range(12)] and np.allclose(fit.h, h)
+    table = factor.as_table(spark, fit)
+    assert {(r.item, r.topic): r.weight for r in table.collect()} == {(5 * i, t): fit.h[i, t] for i in range(12) for t in range(2)}
+    assert "LogicalRDD" not in table._jdf.queryExecution().optimizedPlan().toString()  # rows of the driver
+
+
 def test_hierarchy_splits_and_frontier(spark):
     pairs = [(a, b, 8.0 if a // 10 == b // 10 else 3.0) for a in range(40) for b in range(a + 1, 40) if a // 20 == b // 20]
     nodes = factor.hierarchy(spark.createDataFrame(pairs, "i int, j int, weight double"), 2, least=15, deepest=2, stable=0.3, rounds=80)
