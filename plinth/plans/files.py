@@ -85,10 +85,9 @@ def partition_overwrite(spark, sf):
 
 @query(select("SELECT 'tscore' AS measure, count(*) FILTER (tscore <> 0) AS n FROM scored UNION ALL SELECT 'lift', count(*) FILTER (lift <> 0) FROM scored", "scored"))
 def matrix_manifest(spark, sf):
-    from plinth.operators import association as A
-    from plinth.plans.baskets import _stats
+    from plinth.plans.baskets import _scored
 
-    sizes = sinks.write_matrices(A.scored(_stats(spark, sf)), scratch_path(spark, "matrices"), ["tscore", "lift"])["pairs"]
+    sizes = sinks.write_matrices(_scored(spark, sf), scratch_path(spark, "matrices"), ["tscore", "lift"])["pairs"]
     return spark.createDataFrame(list(sizes.items()), "measure string, n long")
 
 
