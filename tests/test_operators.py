@@ -469,3 +469,54 @@ def test_pairs_are_counted_in_tasks_that_grow_in_number_not_in_size(spark, held)
         assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()  # pairs don't leave the task that makes them
         n = sum(b * (b + 1) // 2 for b in range(30))
         assert n / part / 2 <= made.rdd.getNumPartitions() <= 33 + 2 * n / part
+
+
+def test_sums_of_given_pairs_over_the_baskets_that_hold_them(spark, held):
+    from plinth.operators.pairs import sums
+
+    table = spark.createDataFrame([r[1:] for r in held], "basket string, item long, w double, u double")
+    given = {(i, j): (i + 2 * j) / 1000 for i in range(-7000, 20000, 2000) for j in range(i + 1000, 33000, 3000)}
+    pairs = spark.createDataFrame([(i, j, v) for (i, j), v in given.items()], "i long, j long, v double")
+    want = {}
+    for _, b, i, *_ in held:
+        for _, c, j, *_ in held:
+            if b == c and (i, j) in given:
+                for x in (i, j):
+                    want[b, x] = want.get((b, x), 0.0) + given[i, j]
+    for part in (50, 1 << 21):
+        got = sums(table, pairs, "v", part).groupBy("basket", "item").agg(F.sum("s").alias("s")).collect()
+        assert {(r.basket, r.item): pytest.approx(r.s) for r in got} == want
+
+
+def test_baskets_are_made_and_measures_taken_once(spark, monkeypatch):
+    import os
+
+    from plinth.plans import baskets as plans
+    from plinth.plans import files
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    made, real, seen = [], plans.M.baskets, []
+    monkeypatch.setattr(plans.M, "baskets", lambda *a: made.append(a) or real(*a))
+    for one in (plans.pair_counts_weighted, plans.tscore_by_stratum, plans.cut_candidates):
+        made.clear()
+        one(spark, sf)
+        assert len(made) == 1
+    monkeypatch.setattr(files.sinks, "write_matrices", lambda scored, *a: seen.append(scored) or {"pairs": {"tscore": 1}})
+    files.matrix_manifest(spark, sf)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroups" not in plan  # both measures read what is written
+
+
+def test_skip_gram_learns_groups_in_several_tasks(spark):
+    import random
+
+    rng = random.Random(1)
+    held = [(b, 100 * (b % 2) + i) for b in range(1200) for i in rng.sample(range(10), 6)]
+    model = V.skip_gram(spark.createDataFrame(held, "basket int, item int"), 8, share=2500)
+    assert model.getOrDefault("numPartitions") == 3
+    v = {int(r.word): np.array(r.vector) / np.linalg.norm(r.vector) for r in model.getVectors().collect()}
+    assert len(v) == 20
+    same = np.mean([v[a] @ v[b] for a in v for b in v if a < b and a // 100 == b // 100])
+    assert same > np.mean([v[a] @ v[b] for a in v for b in v if a // 100 < b // 100]) + 0.3
