@@ -520,3 +520,17 @@ def test_skip_gram_learns_groups_in_several_tasks(spark):
     assert len(v) == 20
     same = np.mean([v[a] @ v[b] for a in v for b in v if a < b and a // 100 == b // 100])
     assert same > np.mean([v[a] @ v[b] for a in v for b in v if a // 100 < b // 100]) + 0.3
+
+
+def test_lines_beyond_the_partitions_are_dealt_to_more_tasks(spark, monkeypatch):
+    import os
+
+    from plinth.sources import model
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    want = rows(model.baskets(spark, sf))
+    monkeypatch.setattr(model, "LINES", 700)
+    made = model.baskets(spark, sf)
+    assert made.rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 700) and rows(made) == want
