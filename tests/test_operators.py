@@ -534,3 +534,26 @@ def test_lines_beyond_the_partitions_are_dealt_to_more_tasks(spark, monkeypatch)
     monkeypatch.setattr(model, "LINES", 700)
     made = model.baskets(spark, sf)
     assert made.rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 700) and rows(made) == want
+
+
+def test_steps_before_pairs_have_tasks_by_lines(spark, monkeypatch):
+    import os
+
+    from plinth.operators.pairs import Dealt, deal
+    from plinth.plans import baskets as plans
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    want, counted = rows(plans._entries(spark, sf)), rows(plans.pmi(spark, sf))
+    monkeypatch.setattr(plans.M, "LINES", 700)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 700)
+    made = plans._entries(spark, sf)
+    assert made.rdd.getNumPartitions() == n > 4 and rows(made) == want
+    assert A.marginals(made, tasks=n).rdd.getNumPartitions() == n
+    assert len(deal(made, tasks=n).packed.inputFiles()) == n
+    assert rows(plans.pmi(spark, sf)) == counted
+    monkeypatch.setattr(plans.M, "BYPASS", 2)
+    assert plans.M.pieces(spark, sf) == max(2, n // 4)
+    several = Dealt(made, np.arange(9000), np.ones(9000, np.int64), "long", "long", ())
+    assert several.tasks == 9000 // 32  # ranges share a task, so that map tasks hold no rows for thousands of others
