@@ -557,3 +557,18 @@ def test_steps_before_pairs_have_tasks_by_lines(spark, monkeypatch):
     assert plans.M.pieces(spark, sf) == max(2, n // 4)
     several = Dealt(made, np.arange(9000), np.ones(9000, np.int64), "long", "long", ())
     assert several.tasks == 9000 // 32  # ranges share a task, so that map tasks hold no rows for thousands of others
+
+
+def test_memberships_have_tasks_by_rows(spark, monkeypatch):
+    import os
+
+    from plinth.plans import baskets as plans
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    want = rows(plans._members(spark, sf))
+    monkeypatch.setattr(plans.M, "LINES", 200)
+    n = -(-8 * spark.read.parquet(f"{sf}/part.parquet").count() // 200)
+    made = plans._members(spark, sf)
+    assert made.rdd.getNumPartitions() == n > 4 and rows(made) == want
