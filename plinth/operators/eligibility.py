@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.llm.shared import small_side
+
 LETTERS = "WUBRG"
 
 
@@ -39,10 +41,10 @@ def play_rates(baskets: DataFrame, catalog: DataFrame, eligible_counts: DataFram
 
 def conditioned_tscore(stats: DataFrame, catalog: DataFrame, eligible_counts: DataFrame) -> DataFrame:
     """(i, j, raw, tscore): expectation among the baskets that could hold both."""
-    masks = catalog.select("item", "mask")
+    masks, n = catalog.select("item", "mask"), catalog.count()
     out = stats
     for k in ("i", "j"):
-        out = out.join(masks.select(F.col("item").alias(k), F.col("mask").alias(f"mask_{k}")), k)
+        out = out.join(small_side(masks.select(F.col("item").alias(k), F.col("mask").alias(f"mask_{k}")), n), k)
         out = out.join(F.broadcast(eligible_counts.select(F.col("mask").alias(f"mask_{k}"), F.col("weighted").alias(f"e_{k}"))), f"mask_{k}")
     out = out.withColumn("either", F.col("mask_i").bitwiseOR(F.col("mask_j")))
     out = out.join(F.broadcast(eligible_counts.select(F.col("mask").alias("either"), F.col("weighted").alias("e_ij"))), "either")

@@ -572,3 +572,26 @@ def test_memberships_have_tasks_by_rows(spark, monkeypatch):
     n = -(-8 * spark.read.parquet(f"{sf}/part.parquet").count() // 200)
     made = plans._members(spark, sf)
     assert made.rdd.getNumPartitions() == n > 4 and rows(made) == want
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """More items than may be broadcast, in a file that is small enough for Spark's own estimate."""
+    path = str(tmp_path_factory.mktemp("many") / "catalog")
+    spark.range(500_000).select(F.col("id").alias("item"), F.lit(1).alias("mask")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+
+def test_a_large_catalogue_is_not_broadcast(spark, many):
+    from plinth.operators import eligibility as E
+
+    eligible = spark.createDataFrame([(1, 4, 4.0)], "mask int, n long, weighted double")
+    stats = spark.createDataFrame([(1, 2, 3, 3.0, 2.0, 2.0)], "i long, j long, raw long, joint double, m_i double, m_j double")
+    made = E.conditioned_tscore(stats, many, eligible)
+    assert joins(made)[0] == 2
+    assert rows(made) == [(1, 2, 3, (3.0 - 4.0 * 0.5 * 0.5) / math.sqrt(3.0))]
