@@ -595,3 +595,10 @@ def test_a_large_catalogue_is_not_broadcast(spark, many):
     made = E.conditioned_tscore(stats, many, eligible)
     assert joins(made)[0] == 2
     assert rows(made) == [(1, 2, 3, (3.0 - 4.0 * 0.5 * 0.5) / math.sqrt(3.0))]
+
+
+def test_many_excluded_items_are_not_broadcast(spark, many):
+    pairs = spark.createDataFrame([(1, 2, 1.0), (500_001, 500_002, 1.0), (3, 500_003, 1.0)], "i long, j long, v double")
+    made = graph.topk_union(pairs, "v", 2, many)
+    assert joins(made)[1] == 0
+    assert rows(made) == [(500_001, 500_002)]
