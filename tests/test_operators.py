@@ -509,6 +509,19 @@ def test_baskets_are_made_and_measures_taken_once(spark, monkeypatch):
     assert "Join" not in plan and "FlatMapGroups" not in plan  # both measures read what is written
 
 
+def test_pairs_are_counted_once_for_both_directions(spark):
+    import os
+
+    from plinth.plans import baskets as plans
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    made = plans.scope_popularity(spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "FlatMapGroups" not in plan  # both directions read what is written
+
+
 def test_skip_gram_learns_groups_in_several_tasks(spark):
     import random
 
