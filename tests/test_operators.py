@@ -509,6 +509,21 @@ def test_baskets_are_made_and_measures_taken_once(spark, monkeypatch):
     assert "Join" not in plan and "FlatMapGroups" not in plan  # both measures read what is written
 
 
+def test_products_of_the_executors_hold_only_items_that_edges_meet():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    keys, f = np.arange(1_000_000) * 3, np.ones((1_000_000, 8))
+    batch = pa.RecordBatch.from_pydict({"i": [3, 3, 9], "j": [6, 2_999_997, 9_000], "v": [1.0, 2.0, 4.0]})
+    tracemalloc.start()
+    made = list(factor._products(keys, f, [batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {k: x for k, x in zip(*(made[0].column(c).to_pylist() for c in ("k", "x7")), strict=True)}
+    assert got == {1: 3.0, 2: 1.0, 3: 4.0, 3000: 4.0, 999_999: 2.0} and most < f.nbytes / 10
+
+
 def test_pairs_are_counted_once_for_both_directions(spark):
     import os
 
